@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
-from .common import documents
+from . import bpe, quality, toxicity
+from .common import crc_mod, documents, table
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -29,8 +29,33 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _verdicts(scored: DataFrame, folds: int, held_out: int, threshold: float) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        F.coalesce(crc_mod(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+    )
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document."""
+    docs = documents(spark, sf_dir)
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return _verdicts(quality.score(docs, model), quality.FOLDS, quality.HELD_OUT, quality.THRESHOLD)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document."""
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return _verdicts(toxicity.score(docs, model), toxicity.FOLDS, toxicity.HELD_OUT, toxicity.THRESHOLD)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_quality": op2_quality,
+    "op7_toxicity": op7_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
