@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, toxicity
-from .common import crc_mod, documents, table
+from . import bpe, quality, substring, toxicity
+from .common import Scratch, crc_mod, documents, table
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -45,6 +45,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdicts(quality.score(docs, model), quality.FOLDS, quality.HELD_OUT, quality.THRESHOLD)
 
 
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a repeated window of fifty words covers, removed from every document."""
+    done = substring.dedup(documents(spark, sf_dir), Scratch(spark, "substring"))
+    kept = F.when(F.col("kept").isNull(), F.col("sha")).otherwise(F.sha2(F.col("kept").cast("binary"), 256))
+    return done.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score of every document."""
     docs = documents(spark, sf_dir)
@@ -55,6 +62,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
+    "op3_substring": op3_substring,
     "op7_toxicity": op7_toxicity,
 }
 
