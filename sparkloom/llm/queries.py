@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, substring, toxicity
+from . import bpe, fingerprints, mixing, quality, substring, toxicity
 from .common import Scratch, crc_mod, documents, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -52,6 +52,20 @@ def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", kept.alias("kept_sha256"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of every document and of its edited text."""
+    made = fingerprints.edited_fingerprints(documents(spark, sf_dir), Scratch(spark, "fingerprints"))
+    return made.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprints.text_form(F.col("sketch")).alias("fingerprint"),
+        fingerprints.text_form(F.col("edited_sketch")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score of every document."""
     docs = documents(spark, sf_dir)
@@ -59,11 +73,20 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdicts(toxicity.score(docs, model), toxicity.FOLDS, toxicity.HELD_OUT, toxicity.THRESHOLD)
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents and epochs that the production mixture takes."""
+    return mixing.mix(documents(spark, sf_dir), Scratch(spark, "mixing"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
     "op3_substring": op3_substring,
+    "op4_fingerprints": op4_fingerprints,
     "op7_toxicity": op7_toxicity,
+    "op9_mixing": op9_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_mixing": mixing.oracle_sql(),
+}
