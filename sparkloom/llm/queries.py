@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, mixing, quality, substring, toxicity
+from . import ann, bpe, fingerprints, mixing, quality, substring, toxicity
 from .common import Scratch, crc_mod, documents, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -78,6 +78,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), Scratch(spark, "mixing"))
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest rows of every fiftieth embedding."""
+    rows = ann.usable(table(spark, sf_dir, "embeddings"))
+    return ann.search(rows, ann.every_fiftieth(rows))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprints": op4_fingerprints,
     "op7_toxicity": op7_toxicity,
     "op9_mixing": op9_mixing,
+    "op10_ann": op10_ann,
 }
 
 ORACLE_SQL: dict[str, str] = {
