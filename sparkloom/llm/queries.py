@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprints, mixing, quality, substring, toxicity
+from . import ann, bpe, fingerprints, mixing, neardup, quality, substring, toxicity
 from .common import Scratch, crc_mod, documents, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -66,6 +66,12 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near duplicates of every document; one of each class is kept."""
+    found = neardup.classify(documents(spark, sf_dir), Scratch(spark, "neardup"))
+    return found.select("doc_id", "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score of every document."""
     docs = documents(spark, sf_dir)
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_substring": op3_substring,
     "op4_fingerprints": op4_fingerprints,
+    "op5_neardup": op5_neardup,
     "op7_toxicity": op7_toxicity,
     "op9_mixing": op9_mixing,
     "op10_ann": op10_ann,
