@@ -66,25 +66,26 @@ def map_texts(
     df: DataFrame,
     schema: str,
     make: Callable[[], Callable[[str], tuple]],
-    key: str = "doc_id",
+    key: str | list[str] = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """``(key, *make()(text))`` for each row; ``make`` runs once per task.
+    """``(*key, *make()(text))`` for each row; ``make`` runs once per task.
 
     A null text is the empty text. Batches stream through Arrow, so a worker
     holds one batch at a time.
     """
-    source = df.select(key, text)
-    kind = source.schema[key].dataType.simpleString()
-    out = df.sparkSession.createDataFrame([], f"`{key}` {kind}, {schema}").schema
+    keys = [key] if isinstance(key, str) else list(key)
+    source = df.select(*keys, text)
+    kept = ", ".join(f"`{k}` {source.schema[k].dataType.simpleString()}" for k in keys)
+    out = df.sparkSession.createDataFrame([], f"{kept}, {schema}").schema
     target = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = make()
+        work, n = make(), len(keys)
         for batch in batches:
-            done = zip(*[work(t or "") for t in batch.column(1).to_pylist()], strict=True) if len(batch) else []
-            made = [pa.array(values, field.type) for values, field in zip(done, list(target)[1:], strict=True)] if len(batch) else []
-            if made:
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(target.field(0).type), *made], schema=target)
+            if len(batch):
+                done = zip(*[work(t or "") for t in batch.column(n).to_pylist()], strict=True)
+                made = [pa.array(values, f.type) for values, f in zip(done, list(target)[n:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).cast(target.field(i).type) for i in range(n)), *made], schema=target)
 
     return source.mapInArrow(run, out)

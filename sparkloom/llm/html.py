@@ -319,12 +319,12 @@ class _Layout:
             for _ in range(r.randint(1, 5)):
                 self.parts.append(f'<div{self.named(["comment", "reply", "message"])}>')
                 if r.random() < 0.5:
-                    self.put("span", "", False) if False else self.put("p", self.words(1, 2) + " " + said(), False)
+                    self.put("p", self.words(1, 2) + " " + said(), False)
                 self.put("p", self.sentences(1, 4), False)
                 self.parts.append("</div>")
         elif kind == "form":
             self.parts.append(f"<{tag}{names}>")
-            self.put("label", said(), False) if False else self.put("p", said(), False)
+            self.put("p", said(), False)
             self.parts.append('<input name="q">')
             self.put("button", said(), False)
         elif style < 0.7:
@@ -342,7 +342,7 @@ class _Layout:
         tag = r.choice(["article", "article", "article", "main", "div", "div", "section"])
         names = self.named(_MAIN, 0.9 if tag in ("div", "section") else 0.3)
         self.parts.append(f"<{tag}{names}>")
-        if r.random() < 0.85:
+        if r.random() < 0.75:
             self.put("h1", self.words(1, 10) + r.choice(["", ".", " &amp; " + self.words(1, 2)]), True)
         if r.random() < 0.12:
             self.side("share")
@@ -371,12 +371,13 @@ class _Layout:
     def page(self) -> tuple[str, list[int]]:
         r = self.r
         self.parts.append(f'<!DOCTYPE html><html><head><title>{self.words(1, 6)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>')
-        for kind, chance in (("notice", 0.25), ("header", 0.4), ("nav", 0.8), ("form", 0.2), ("ad", 0.45), ("aside", 0.15)):
+        bare = r.random() < 0.2
+        for kind, chance in () if bare else (("notice", 0.25), ("header", 0.4), ("nav", 0.8), ("form", 0.2), ("ad", 0.45), ("aside", 0.15)):
             if r.random() < chance:
                 self.side(kind)
         if r.random() < 0.97:
             self.main()
-        for kind, chance in (("share", 0.15), ("comments", 0.3), ("aside", 0.3), ("form", 0.2), ("ad", 0.25), ("nav", 0.1), ("notice", 0.15), ("footer", 0.85)):
+        for kind, chance in () if bare else (("share", 0.15), ("comments", 0.3), ("aside", 0.3), ("form", 0.2), ("ad", 0.25), ("nav", 0.1), ("notice", 0.15), ("footer", 0.85)):
             if r.random() < chance:
                 self.side(kind)
         self.parts.append("</body></html>")
@@ -408,6 +409,6 @@ def main_text(html: str, model: Field) -> str:
     return "\n".join(b.text for b, label in zip(page, model.decode(features(page)), strict=True) if label)
 
 
-def extract(pages: DataFrame, model: Field, key: str = "page_id", html: str = "html") -> DataFrame:
-    """``key, text`` of each page's whole html; null or empty html gives the empty text."""
+def extract(pages: DataFrame, model: Field, key: str | list[str] = "page_id", html: str = "html") -> DataFrame:
+    """``*key, text`` of each page's whole html; null or empty html gives the empty text."""
     return map_texts(pages, "text string", lambda: lambda page: (main_text(page, model),), key, html)

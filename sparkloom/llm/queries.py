@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprints, mixing, neardup, quality, substring, toxicity
+from . import ann, bpe, fingerprints, html, mixing, neardup, quality, substring, toxicity
 from .common import Scratch, crc_mod, documents, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -72,6 +72,12 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = html.extract(table(spark, sf_dir, "pages"), html.train(), ["page_id", "url"])
+    return found.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score of every document."""
     docs = documents(spark, sf_dir)
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring": op3_substring,
     "op4_fingerprints": op4_fingerprints,
     "op5_neardup": op5_neardup,
+    "op6_html": op6_html,
     "op7_toxicity": op7_toxicity,
     "op9_mixing": op9_mixing,
     "op10_ann": op10_ann,
