@@ -287,3 +287,40 @@ def _named(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([_id_of(None, t) for t in texts], pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
 
     return docs.select("text").mapInArrow(run, "id bigint, text string")
+
+
+def keep_first(docs: DataFrame, scratch: Scratch, least: float = LEAST) -> DataFrame:
+    """One row of each class, with the documents' own columns.
+
+    It is the one with the least doc_id; of rows that repeat that id, the one
+    whose text hashes least. A class of rows without an id keeps one of them.
+    """
+    found = classify(docs, scratch, least)
+    named = found.where("doc_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("first"))
+    gone = scratch.write(found.where("doc_id is not null").join(named, "class_id").where("doc_id > first").select("doc_id").distinct(), "gone")
+    own = docs.withColumn("__id", F.col("doc_id").cast("bigint"))
+    if gone.count() <= MOST_BROADCAST:
+        gone = F.broadcast(gone)
+    kept = own.where("doc_id is not null").join(gone.withColumnRenamed("doc_id", "__id"), "__id", "left_anti").select(*docs.columns)
+    ids = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    if ids:  # some id is repeated: one row for each
+        order = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.col("text"))
+        kept = kept.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    if found.where("doc_id is null").limit(1).count():
+        kept = kept.unionByName(_unnamed(docs, found, named))
+    return kept
+
+
+def _unnamed(docs: DataFrame, found: DataFrame, named: DataFrame) -> DataFrame:
+    """One row of each class that has only rows without a doc_id."""
+    alone = found.where("doc_id is null and id = class_id").join(named, "class_id", "left_anti").select("id").distinct()
+
+    def run(batches):
+        for batch in batches:
+            ids = [_id_of(None, t or "") for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], [*batch.schema.names, "__id"])
+
+    rows = docs.where("doc_id is null")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    keyed = rows.mapInArrow(run, f"{schema}, `__id` bigint").dropDuplicates(["__id"])
+    return keyed.join(alone.withColumnRenamed("id", "__id"), "__id", "left_semi").select(*docs.columns)

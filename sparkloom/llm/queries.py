@@ -12,10 +12,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprints, html, mixing, neardup, quality, substring, toxicity
+from . import ann, bpe, fingerprints, html, mixing, neardup, quality, substring, tokenstore, toxicity
 from .common import Scratch, crc_mod, documents, table
 
-BYTE_BPE = "byte_bpe_50k.json"
+BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +85,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdicts(toxicity.score(docs, model), toxicity.FOLDS, toxicity.HELD_OUT, toxicity.THRESHOLD)
 
 
+def op8_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written to compact files and read back."""
+    written = tokenstore.write(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE), Scratch(spark, "tokenstore"))
+    return tokenstore.read(written).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents and epochs that the production mixture takes."""
     return mixing.mix(documents(spark, sf_dir), Scratch(spark, "mixing"))
@@ -104,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_neardup": op5_neardup,
     "op6_html": op6_html,
     "op7_toxicity": op7_toxicity,
+    "op8_tokenstore": op8_tokenstore,
     "op9_mixing": op9_mixing,
     "op10_ann": op10_ann,
 }

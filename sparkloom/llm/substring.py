@@ -321,3 +321,35 @@ def dedup(docs: DataFrame, scratch: Scratch, batches: int = BATCHES) -> DataFram
         )
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def cut_documents(docs: DataFrame, scratch: Scratch, batches: int = BATCHES) -> DataFrame:
+    """The documents with repeated passages cut from ``text``, and ``n_chars`` of the new text.
+
+    Texts that lose nothing stay as they are; the words left of others are
+    joined by one space, so a text that repeats wholly becomes empty.
+    """
+    done = dedup(docs, scratch, batches).where("kept is not null").select(F.coalesce("doc_id", F.lit(LAST)).alias("__id"), F.col("row").alias("__row"), "kept")
+    done = scratch.write(done.distinct(), "cut")
+    names = docs.columns
+    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)))
+    few = done.count() <= MOST_BROADCAST
+    ids = done.select("__id").distinct()
+    ids = F.broadcast(ids) if few else ids
+    same = rows.join(ids, "__id", "left_anti").select(*names)
+    hit = _with_row(rows.join(ids, "__id", "left_semi")).join(done, ["__id", "__row"], "left")
+    text = F.coalesce("kept", "text")
+    new = {"text": text} | ({"n_chars": F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast(docs.schema["n_chars"].dataType))} if "n_chars" in names else {})
+    return same.unionByName(hit.select(*[new[c].alias(c) if c in new else F.col(c) for c in names]))
+
+
+def _with_row(rows: DataFrame) -> DataFrame:
+    """Add ``__row``, the hash that tells texts with one id apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [xxhash.xxh3_64_intdigest((t or "").encode()) - (1 << 63) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], [*batch.schema.names, "__row"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{schema}, `__row` bigint")

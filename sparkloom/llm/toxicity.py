@@ -346,8 +346,8 @@ def train(docs: DataFrame, labels: DataFrame, rows_each: int = FIT_ROWS_EACH) ->
     return ToxicityModel(restorer, bias, weights)
 
 
-def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``doc_id, score``: how likely each whole text is toxic.
+def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None) -> DataFrame:
+    """``doc_id, score``, or the columns of ``keep`` and score: how likely each whole text is toxic.
 
     Null and empty texts score what a text without evidence does. One row per
     input row, repeated ids included.
@@ -357,6 +357,9 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         seen = _Evidence(model.weights)
         return lambda text: (model.score(text, seen),)
 
+    if keep:
+        own = docs.select(*keep, F.col("text").alias("__scored"))
+        return map_texts(own, "score double", make, keep, "__scored")
     return map_texts(docs, "score double", make)
 
 
