@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,8 +16,28 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
+def lean() -> None:
+    """Make a worker give freed memory back: it shares its executor with the JVM and other workers.
+
+    Arrow then allocates from the system, and blocks of a megabyte or more
+    are mapped one by one.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)
+        libc.mallopt(-1, 1 << 20)
+        libc.malloc_trim(0)
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Keep batches for Python short, since texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; the path may be in any store Spark reads."""
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -44,6 +66,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        short_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -62,6 +85,22 @@ def crc_mod(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)
 
 
+class Sheltered:
+    """Rows under positional names, so that columns made beside them clash with none."""
+
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        self.inner = {name: f"_{i}_" for i, name in enumerate(self.names)}
+        self.df = df.toDF(*self.inner.values())
+
+    def col(self, name: str) -> Column:
+        return F.col(self.inner[name])
+
+    def restore(self, df: DataFrame, new: dict[str, Column] | None = None) -> DataFrame:
+        """The rows' own columns under their own names, some of them new."""
+        return df.select(*[(new or {}).get(n, self.col(n)).alias(n) for n in self.names])
+
+
 def map_texts(
     df: DataFrame,
     schema: str,
@@ -72,19 +111,21 @@ def map_texts(
     """``(*key, *make()(text))`` for each row; ``make`` runs once per task.
 
     A null text is the empty text. Batches stream through Arrow, so a worker
-    holds one batch at a time.
+    holds one batch at a time. The text may be among the keys.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    source = df.select(*keys, text)
+    source = df.select(*keys) if text in keys else df.select(*keys, text)
+    place = source.columns.index(text)
     kept = ", ".join(f"`{k}` {source.schema[k].dataType.simpleString()}" for k in keys)
     out = df.sparkSession.createDataFrame([], f"{kept}, {schema}").schema
     target = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         work, n = make(), len(keys)
         for batch in batches:
             if len(batch):
-                done = zip(*[work(t or "") for t in batch.column(n).to_pylist()], strict=True)
+                done = zip(*[work(t or "") for t in batch.column(place).to_pylist()], strict=True)
                 made = [pa.array(values, f.type) for values, f in zip(done, list(target)[n:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).cast(target.field(i).type) for i in range(n)), *made], schema=target)
 

@@ -8,9 +8,9 @@ probability of their weighted Jaccard similarity. Few ranks are looked at, so
 a signature takes time linear in the set.
 
 Texts with equal shingle sets are one node. Bands of the signature put nodes
-into buckets; within a bucket nodes are compared with few centres instead of
-with each other, again until every pair of the bucket is either in one class
-or compared. Links are checked exactly; classes are connected components.
+into buckets; within a bucket nodes are compared with its centre instead of
+with each other, and again in narrower buckets where classes stay apart. Links
+are checked exactly; classes are connected components.
 """
 
 from __future__ import annotations
@@ -25,15 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, Sheltered, lean
 
 SHINGLE, LEAST = 5, 0.8
-#: 32 bands of 4: two sets of similarity 0.8 share none with probability 5e-8, less than three with 1e-4.
-COORDINATES, ROWS = 128, 4
-#: Bands that a pair must share to be compared; it shares one more when both are met in a bucket by a centre.
-SHARED = 2
-#: Centres of a bucket in the first later round; each further round takes four times as many.
-CENTRES = 4
+#: 32 bands of 4: two sets of similarity 0.8 share none with probability 5e-8, less than SHARED with 1e-4.
+COORDINATES, ROWS, SHARED = 128, 4, 4
+#: Later rounds look at nodes that agree in a band and in further ones at these distances from it.
+DEEPER = (((1,), (2,), (3,), (5,)), ((1, 3), (2, 5), (4, 9), (7, 11)))
 #: Ids that are broadcast, at 8 bytes each, to read fewer texts; beyond, the join alone decides.
 MOST_BROADCAST = 500_000
 
@@ -48,7 +46,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -129,6 +127,7 @@ def sign(docs: DataFrame) -> DataFrame:
     """``doc_id, id, node, bands`` of each row; ``node`` is a 128-bit digest of the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         known = _WordHash()
         for batch in batches:
             ids, keys, nodes, keyed, length = [], [], [], [], []
@@ -163,6 +162,7 @@ def _checked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs ``a, b`` whose texts are similar, compared by their whole shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         known = _WordHash()
         last: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -204,44 +204,50 @@ def links(nodes: DataFrame, texts_of, scratch: Scratch, least: float = LEAST) ->
     """``(links, classes)`` of nodes ``id, bands``: checked pairs ``a, b`` and ``id, class``.
 
     ``texts_of(ids)`` gives ``id, text`` of the asked ids. Of each bucket the
-    node with the fullest buckets is compared with all; then, while a bucket
-    holds several classes, every node outside its largest class is in turn
-    compared with the bucket's nodes of other classes.
+    node with the fullest buckets, its centre, is compared with all. Where a
+    bucket then still holds several classes, its nodes are dealt to narrower
+    buckets, of nodes that agree in more bands, each with a centre of its own.
+    So every round compares as many pairs as there are nodes in buckets, and
+    never all pairs of a bucket. A link that no centre's class holds in any of
+    the some thirteen bands it shares is the only one that can be missed.
     """
-    met = nodes.select("id", F.explode("bands").alias("key"))
+    met = nodes.select("id", F.posexplode("bands").alias("band", "key"))
     full = met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = scratch.write(met.join(full, "key"), "met")
-    fame = met.groupBy("id").agg(F.sum("n").alias("fame"))
-    fame = scratch.write(fame.join(nodes, "id"), "fame")
+    fame = scratch.write(met.groupBy("id").agg(F.sum("n").alias("fame")).join(nodes, "id"), "fame")
     some = fame.select("id")
-    centre = met.join(fame.select("id", "fame"), "id").groupBy("key").agg(F.max(F.struct("fame", "id")).alias("c")).select("key", F.col("c.id").alias("b"))
-    pairs = met.join(centre, "key").where("id != b").select(F.col("id").alias("a"), "b")
-    tested, passed, classes, done, turn = None, None, None, centre.select("key", F.col("b").alias("id")), 0
-    while True:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rank = fame.select("id", "fame")
+    own = fame.select("id", "bands")
+    buckets, tested, passed, classes = met.select("key", "id", "band"), None, None, None
+    for turn, offsets in enumerate([None, *DEEPER]):
+        if offsets is not None:
+            placed = buckets.join(classes, "id")
+            open_ = placed.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x != y").select("key")
+            left = buckets.join(open_, "key", "left_semi").join(own, "id")
+            count = COORDINATES // ROWS
+            deeper = [F.xxhash64("key", *[F.get("bands", (F.col("band") + o) % count) for o in offset]) for offset in offsets]
+            dealt = left.select("id", F.explode(F.array(*deeper)).alias("key")).distinct().join(classes, "id")
+            mixed = dealt.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x != y").select("key")
+            dealt = scratch.write(dealt.join(mixed, "key", "left_semi"), f"dealt{turn}")
+            if dealt.isEmpty():
+                break
+        else:
+            dealt = buckets.select("key", "id", F.col("id").alias("class"))
+        centre = dealt.join(rank, "id").groupBy("key").agg(F.max(F.struct("fame", "id", "class")).alias("c"))
+        centre = centre.select("key", F.col("c.id").alias("b"), F.col("c.class").alias("class_b"))
+        pairs = dealt.join(centre, "key").where("class != class_b").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        own = fame.select("id", "bands")
         near = pairs.join(own.select(F.col("id").alias("a"), F.col("bands").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("bands").alias("y")), "b")
         near = scratch.write(near.select("a", "b", (F.size(F.array_intersect("x", "y")) >= SHARED).alias("close")), f"pairs{turn}")
         close = near.where("close").select("a", "b")
-        texts = texts_of(close.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        texts = texts_of(close.select("a").union(close.select("b")).distinct().toDF("id"))
         good = scratch.write(_checked(close, texts, least), f"links{turn}")
         passed = good if passed is None else passed.unionByName(good)
         tested = near.select("a", "b") if tested is None else tested.unionByName(near.select("a", "b"))
-        classes = components(some, passed, scratch, f"classes{turn}")
-        placed = met.select("key", "id").join(classes, "id")
-        main = placed.groupBy("key", "class").count().groupBy("key").agg(F.max(F.struct("count", "class")).alias("m"), F.count("*").alias("kinds"))
-        main = main.where("kinds > 1").select("key", F.col("m.class").alias("main"))
-        rest = placed.join(main, "key").where("class != main").join(done, ["key", "id"], "left_anti").join(fame.select("id", "fame"), "id")
-        rank = F.row_number().over(W.partitionBy("key").orderBy(F.col("fame").desc(), "id"))
-        turn += 1
-        chosen = rest.withColumn("r", rank).where(F.col("r") <= CENTRES**turn).select("key", F.col("id").alias("b"), F.col("class").alias("class_b"))
-        chosen = scratch.write(chosen, f"centres{turn}")
-        if chosen.isEmpty():
-            return passed, classes
-        done = done.unionByName(chosen.select("key", F.col("b").alias("id")))
-        pairs = placed.join(chosen, "key").where("class != class_b").select(F.col("id").alias("a"), "b")
+        if turn == 0 or not good.isEmpty():
+            classes = components(some, passed, scratch, f"classes{turn}")
+    return passed, classes
 
 
 def classify(docs: DataFrame, scratch: Scratch, least: float = LEAST) -> DataFrame:
@@ -282,6 +288,7 @@ def _named(docs: DataFrame) -> DataFrame:
     """``id, text`` of rows without a doc_id."""
 
     def run(batches):
+        lean()
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([_id_of(None, t) for t in texts], pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
@@ -298,29 +305,30 @@ def keep_first(docs: DataFrame, scratch: Scratch, least: float = LEAST) -> DataF
     found = classify(docs, scratch, least)
     named = found.where("doc_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("first"))
     gone = scratch.write(found.where("doc_id is not null").join(named, "class_id").where("doc_id > first").select("doc_id").distinct(), "gone")
-    own = docs.withColumn("__id", F.col("doc_id").cast("bigint"))
+    own = Sheltered(docs)
+    rows = own.df.withColumn("id", own.col("doc_id").cast("bigint"))
     if gone.count() <= MOST_BROADCAST:
         gone = F.broadcast(gone)
-    kept = own.where("doc_id is not null").join(gone.withColumnRenamed("doc_id", "__id"), "__id", "left_anti").select(*docs.columns)
-    ids = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if ids:  # some id is repeated: one row for each
-        order = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.col("text"))
-        kept = kept.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    kept = rows.where("id is not null").join(gone.withColumnRenamed("doc_id", "id"), "id", "left_anti")
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():  # some id is repeated: one row for each
+        order = W.partitionBy("id").orderBy(F.xxhash64(own.col("text")), own.col("text"))
+        kept = kept.withColumn("n", F.row_number().over(order)).where("n = 1")
+    out = own.restore(kept)
     if found.where("doc_id is null").limit(1).count():
-        kept = kept.unionByName(_unnamed(docs, found, named))
-    return kept
+        out = out.unionByName(own.restore(_unnamed(rows.where("id is null").drop("id"), own.inner["text"], found, named)))
+    return out
 
 
-def _unnamed(docs: DataFrame, found: DataFrame, named: DataFrame) -> DataFrame:
+def _unnamed(rows: DataFrame, text: str, found: DataFrame, named: DataFrame) -> DataFrame:
     """One row of each class that has only rows without a doc_id."""
     alone = found.where("doc_id is null and id = class_id").join(named, "class_id", "left_anti").select("id").distinct()
 
     def run(batches):
+        lean()
         for batch in batches:
-            ids = [_id_of(None, t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], [*batch.schema.names, "__id"])
+            ids = [_id_of(None, t or "") for t in batch.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64())], [*batch.schema.names, "id"])
 
-    rows = docs.where("doc_id is null")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    keyed = rows.mapInArrow(run, f"{schema}, `__id` bigint").dropDuplicates(["__id"])
-    return keyed.join(alone.withColumnRenamed("id", "__id"), "__id", "left_semi").select(*docs.columns)
+    keyed = rows.mapInArrow(run, f"{schema}, `id` bigint").dropDuplicates(["id"])
+    return keyed.join(alone, "id", "left_semi")
