@@ -115,6 +115,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ann": op10_ann,
 }
 
+_WORDS = r"select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents"
+
+#: Every window of every document, against the least id that holds it.
+SUBSTRING_SQL = f"""
+with w as ({_WORDS}),
+win as (select doc_id, p, md5(array_to_string(ws[p:p + 49], ' ')) as h from (select doc_id, ws, unnest(range(1, len(ws) - 48)) as p from w where len(ws) >= 50)),
+least_id as (select h, min(doc_id) as f from win group by h),
+gone as (select distinct doc_id, unnest(range(p, p + 50)) as i from win join least_id using (h) where doc_id > f),
+word as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as i from w),
+kept as (select doc_id, string_agg(word, ' ' order by i) as t, count(*) as n from word left join (select *, true as g from gone) using (doc_id, i) where g is null group by doc_id)
+select doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from w left join kept using (doc_id)"""
+
+#: All pairs that share a shingle, and what their links lead to.
+NEARDUP_SQL = f"""
+with recursive w as ({_WORDS}),
+s as (select distinct doc_id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) else [array_to_string(ws, ' ')] end) as x from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+shared as (select a.doc_id as p, b.doc_id as q, count(*) as c from s a join s b on a.x = b.x and a.doc_id < b.doc_id group by all),
+link as (select p, q from shared join n a on a.doc_id = p join n b on b.doc_id = q where 5 * c >= 4 * (a.n + b.n - c)),
+edge as (select p, q from link union all select q, p from link),
+reach(doc_id, other) as (select doc_id, doc_id from w union select doc_id, q from reach join edge on other = p)
+select doc_id, min(other) as class_id, min(other) = doc_id as kept from reach group by doc_id"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_substring": SUBSTRING_SQL,
+    "op5_neardup": NEARDUP_SQL,
     "op9_mixing": mixing.oracle_sql(),
 }
