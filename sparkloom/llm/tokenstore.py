@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, lean
 
 MAGIC = b"CMRC1\0\0\0"
 #: Ids of a block, and of a chunk before it is closed at the end of a document.
-BLOCK, CHUNK = 2048, 1 << 22
+BLOCK, CHUNK = 2048, 1 << 23
 #: Slots of the order-1 and order-2 tables of a block; leading classes of order 0.
 SLOTS1, SLOTS2, CLASSES = 512, 1024, 16
 #: Bits of a mixture weight and of a class, and how fast both adapt. Weights and classes are kept with 16 bits.
@@ -41,8 +41,7 @@ MIX_BITS, CLASS_BITS, _MIX_RATE, _CLASS_RATE = 10, 8, 4, 5
 _MIX_ONE, _ONE = 1 << MIX_BITS, 1 << 16
 #: Least distance of class bounds; it stays over one unit of CLASS_BITS while they adapt.
 _GAP = 320
-_EDGES = np.arange(CLASSES + 1, dtype=np.int32)
-_TARGET = np.where(_EDGES > _EDGES[:CLASSES, None], _ONE - (CLASSES - _EDGES) * _GAP, _EDGES * _GAP).astype(np.int32)
+_EDGES = np.arange(CLASSES + 1, dtype=np.int32)[:, None]
 _LOW32, _S32, _U1 = np.uint64(0xFFFFFFFF), np.uint64(32), np.uint64(1)
 #: Mixture contexts: confidence of order 2 and of order 1 (0 to 3 each), agreement.
 _CONTEXTS = 32
@@ -67,7 +66,7 @@ class _Lanes:
         self.base1, self.base2 = np.arange(lanes, dtype=np.int64) * SLOTS1, np.arange(lanes, dtype=np.int64) * SLOTS2
         self.mix = np.full(lanes * _CONTEXTS, (_ONE // 3) << 16 | _ONE // 3, np.uint32)
         self.base_mix = np.arange(lanes, dtype=np.int64) * _CONTEXTS
-        self.classes = np.tile(_EDGES * (_ONE // CLASSES), (lanes, 1))
+        self.classes = np.tile(_EDGES * np.int32(_ONE // CLASSES), (1, lanes))
         self.every = np.arange(lanes)
         self.low, self.span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
 
@@ -89,9 +88,10 @@ class _Lanes:
         """Begin and width of ids ``x`` in units of 2^-total; sets the class of each."""
         low = np.uint64(self.bits)
         self.kind = x >> np.uint32(self.bits)
-        edges = self.classes[:n]
-        first = (edges[self.every[:n], self.kind] >> (16 - CLASS_BITS)).astype(np.uint64)
-        width = (edges[self.every[:n], self.kind + np.uint32(1)] >> (16 - CLASS_BITS)).astype(np.uint64) - first
+        at = self.kind.astype(np.int64) * len(self.every) + self.every[:n]
+        flat = self.classes.reshape(-1)
+        first = (flat.take(at) >> (16 - CLASS_BITS)).astype(np.uint64)
+        width = (flat.take(at + len(self.every)) >> (16 - CLASS_BITS)).astype(np.uint64) - first
         rest = (_MIX_ONE - self.ab).astype(np.uint64)
         other = (first << low) + (x & np.uint32((1 << self.bits) - 1)) * width
         shift = np.uint64(CLASS_BITS + self.bits)
@@ -112,8 +112,13 @@ class _Lanes:
         self.table2[self.at2] = head | (np.minimum(self.c2 + np.uint32(1), np.uint32(3)) * hit2)
         self.table1[self.at1] = head | (np.minimum(self.c1 + np.uint32(1), np.uint32(3)) * (x == self.q1))
         self.p2[:n], self.p1[:n] = self.p1[:n], x
-        edges = self.classes[:n]
-        edges += ((_TARGET.take(self.kind, 0) - edges) >> _CLASS_RATE) * ~(hit2 | hit1)[:, None]
+        edges = self.classes[:, :n]
+        move = (_EDGES > self.kind.astype(np.int32)) * np.int32(_ONE - CLASSES * _GAP)  # bounds above move to the top, the others to the bottom
+        move += _EDGES * np.int32(_GAP)
+        move -= edges
+        move >>= _CLASS_RATE
+        move *= ~(hit2 | hit1)
+        edges += move
 
     def narrow(self, n: int, step: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Take the interval; the lanes that then move on by 32 bits, with the moved-out bits, and the shift."""
@@ -179,10 +184,12 @@ def decode_blocks(blocks: list[bytes], total: int, vocabulary: int = 1 << 16) ->
         hit2 = top < lanes.a
         hit1 = ~hit2 & (top < lanes.ab)
         inside = np.where(hit2 | hit1, np.uint64(0), value - (lanes.ab.astype(np.uint64) << deep)) // (_MIX_ONE - lanes.ab).astype(np.uint64)
-        edges = lanes.classes[:n] >> (16 - CLASS_BITS)
-        kind = (edges[:, 1:CLASSES] <= (inside >> low).astype(np.int32)[:, None]).sum(1)
-        first = edges[lanes.every[:n], kind].astype(np.uint64)
-        part = (inside - (first << low)) // (edges[lanes.every[:n], kind + 1].astype(np.uint64) - first)
+        limit = ((inside >> low).astype(np.int32) + np.int32(1)) << (16 - CLASS_BITS)  # a class begins at or below it: edge >> 8 <= x
+        kind = (lanes.classes[1:CLASSES, :n] < limit).sum(0)
+        spot = kind * count + lanes.every[:n]
+        flat = lanes.classes.reshape(-1)
+        first = (flat.take(spot) >> (16 - CLASS_BITS)).astype(np.uint64)
+        part = (inside - (first << low)) // ((flat.take(spot + count) >> (16 - CLASS_BITS)).astype(np.uint64) - first)
         x = np.where(hit2, lanes.q2, np.where(hit1, lanes.q1, (kind.astype(np.uint64) << low | part).astype(np.uint32)))
         begin, width = lanes.bounds(n, x, hit2, hit1)
         moved, _, shift = lanes.narrow(n, step, begin, width)
@@ -247,7 +254,7 @@ class WordTokens:
     they are remembered, in packed form.
     """
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str, remembered: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -322,6 +329,7 @@ def write(docs: DataFrame, path: str, scratch: Scratch, end: int = 1) -> DataFra
     ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange(parts, order).sortWithinPartitions(order, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         coder, part, seq = _tokens(path), TaskContext.get().partitionId(), 0
         stop = struct.pack("<H", end)
@@ -362,6 +370,7 @@ def read(chunks: DataFrame) -> DataFrame:
     starts = sizes.withColumn("inside", inside).join(parts, "part").select("part", "seq", (F.col("base") + F.col("inside")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             for first, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 names, counts, ids = unpack_chunk(content.as_buffer().to_pybytes())
