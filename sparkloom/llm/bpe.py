@@ -20,12 +20,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import HELD, map_texts
 
 #: The pre-tokenizer pattern of the byte-level vocabulary.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces and pairs that a worker remembers before it starts afresh.
-REMEMBERED_PIECES, REMEMBERED_PAIRS = 250_000, 1_000_000
+REMEMBERED_PIECES, REMEMBERED_PAIRS = 150_000, 300_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -77,8 +77,7 @@ class BpeCodec:
             if whole in parts:
                 raise ValueError(f"token {whole} is made by two merges")
             parts[whole] = (a, b, rank)
-        self._right = [self._spine(parts, i, 1) for i in range(size)]
-        self._left = [self._spine(parts, i, 0) for i in range(size)]
+        self._parts = parts
         self._automaton = ahocorasick.Automaton()
         for token, data in raw.items():
             if token not in added:
@@ -88,10 +87,9 @@ class BpeCodec:
         self._compatible: dict[int, bool] = {}
         self._known = _Remembered(self.encode_piece)
 
-    @staticmethod
-    def _spine(parts: dict, token: int, side: int) -> list[tuple[int, float]]:
+    def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """What stands at a token's edge while it is built, and the rank of the merge that takes it up."""
-        spine, until = [(token, math.inf)], math.inf
+        spine, until, parts = [(token, math.inf)], math.inf, self._parts
         while token in parts:
             until = parts[token][2]
             token = parts[token][side]
@@ -108,11 +106,11 @@ class BpeCodec:
         key = first << 20 | second
         known = self._compatible.get(key)
         if known is None:
-            merge = self._merge
+            merge, left = self._merge, self._spine(second, 0)
             known = not any(
                 (rank := merge.get((x, y))) is not None and rank < x_until and rank <= y_until
-                for x, x_until in self._right[first]
-                for y, y_until in self._left[second]
+                for x, x_until in self._spine(first, 1)
+                for y, y_until in left
             )
             if len(self._compatible) >= REMEMBERED_PAIRS:
                 self._compatible.clear()
@@ -162,11 +160,14 @@ class BpeCodec:
         return self.decode_packed(np.array(ids, "<u4").tobytes())
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def codec(path: str) -> BpeCodec:
     return BpeCodec(path)
 
 
+HELD["bpe"] = codec.cache_clear
+
+
 def encode(docs: DataFrame, vocab: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_tokens, ids`` of each row's whole text.
 
@@ -184,7 +185,7 @@ def encode(docs: DataFrame, vocab: str, key: str = "doc_id", text: str = "text")
 
         return one
 
-    return map_texts(docs, "n_tokens bigint, ids binary", make, key, text)
+    return map_texts(docs, "n_tokens bigint, ids binary", make, key, text, "bpe")
 
 
 def round_trip(docs: DataFrame, vocab: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -199,7 +200,7 @@ def round_trip(docs: DataFrame, vocab: str, key: str = "doc_id", text: str = "te
 
         return one
 
-    return map_texts(docs, "n_tokens bigint, ids binary, decoded string", make, key, text)
+    return map_texts(docs, "n_tokens bigint, ids binary, decoded string", make, key, text, "bpe")
 
 
 def decode(tokens: DataFrame, vocab: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,12 +18,19 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
-def lean() -> None:
-    """Make a worker give freed memory back: it shares its executor with the JVM and other workers.
+#: What modules keep between the tasks of a worker, by owner: how to let it go.
+HELD: dict[str, Callable[[], None]] = {}
 
-    Arrow then allocates from the system, and blocks of a megabyte or more
-    are mapped one by one.
+
+def lean(owner: str = "") -> None:
+    """Make a worker give memory back: it shares its executor with the JVM and other workers.
+
+    What other owners hold is let go. Arrow then allocates from the system,
+    and blocks of a megabyte or more are mapped one by one.
     """
+    for name, release in HELD.items():
+        if name != owner:
+            release()
     pa.set_memory_pool(pa.system_memory_pool())
     with contextlib.suppress(OSError, AttributeError):
         libc = ctypes.CDLL("libc.so.6")
@@ -32,7 +41,7 @@ def lean() -> None:
 
 def short_batches(spark: SparkSession) -> None:
     """Keep batches for Python short, since texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +61,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="sparkloom-checkpoint-")
+        folder = tempfile.mkdtemp(prefix="sparkloom-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
@@ -107,6 +118,7 @@ def map_texts(
     make: Callable[[], Callable[[str], tuple]],
     key: str | list[str] = "doc_id",
     text: str = "text",
+    owner: str = "",
 ) -> DataFrame:
     """``(*key, *make()(text))`` for each row; ``make`` runs once per task.
 
@@ -121,7 +133,7 @@ def map_texts(
     target = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
+        lean(owner)
         work, n = make(), len(keys)
         for batch in batches:
             if len(batch):

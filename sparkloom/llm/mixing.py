@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, Sheltered
 
 LEVELS = ("domain", "lang", "source")
 #: Production parameters: weights by level (others weigh OTHER), budget in percent of all tokens, epochs, seed.
@@ -150,13 +150,11 @@ def mix(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
 def mixed_documents(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
     """The documents that the mixture takes, with their own columns, once for each epoch."""
     _, cuts = plan(docs, scratch, **how)
-    leaf = [c.alias(f"__{name}") for c, name in zip(leaf_columns(docs, how.get("domain")), LEVELS, strict=True)]
-    cuts = cuts.select(*[F.col(c).alias(f"__{c}") for c in LEVELS], F.col("whole").alias("__whole"), F.col("cut").alias("__cut"))
-    more = (order_key(F.col("doc_id"), F.col("__whole") + 1, how.get("seed", SEED)) <= F.col("__cut")).cast("bigint")
-    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows = docs.where(words).select(*docs.columns, *leaf).join(cuts, [f"__{c}" for c in LEVELS])
-    rows = rows.withColumn("__times", F.col("__whole") + more).where("__times > 0")
-    return rows.withColumn("__epoch", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__times")))).select(*docs.columns)
+    own = Sheltered(docs)
+    leaf = [c.alias(name) for c, name in zip(leaf_columns(docs, how.get("domain")), LEVELS, strict=True)]
+    rows = docs.where(F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    rows = rows.select(*[F.col(f"`{n}`").alias(i) for n, i in own.inner.items()], *leaf, F.col("doc_id"))
+    return own.restore(taken(rows, cuts, how.get("seed", SEED)))
 
 
 def oracle_sql() -> str:

@@ -34,7 +34,7 @@ N_STATS = 16
 
 class _WordIndex(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         i = self[word] = zlib.crc32(word.encode()) % WORD_BUCKETS
         return i

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, Sheltered, lean
 
 WINDOW, GRAM = 50, 12
 #: Batches of ascending doc_id that the query feeds, and runs that are compacted into one.
@@ -45,7 +45,7 @@ def words_of(text: str) -> list[bytes]:
 
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_128_intdigest(word)
         return h
@@ -112,6 +112,7 @@ def extract(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         known = _WordHash()
         for batch in batches:
             ids, heads, parts = [], [], []
@@ -239,6 +240,7 @@ class IncrementalDedup:
         """Each window of the asked segments, by content hash."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lean()
             known = _WordHash()
             for batch in batches:
                 for key, row, text, asks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -275,6 +277,7 @@ def _cut(docs: DataFrame, ranges: DataFrame, many: int) -> DataFrame:
     """``id, row, text, n_removed`` of the documents that lose words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
             out = []
             for key, row, text, windows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -329,27 +332,28 @@ def cut_documents(docs: DataFrame, scratch: Scratch, batches: int = BATCHES) ->
     Texts that lose nothing stay as they are; the words left of others are
     joined by one space, so a text that repeats wholly becomes empty.
     """
-    done = dedup(docs, scratch, batches).where("kept is not null").select(F.coalesce("doc_id", F.lit(LAST)).alias("__id"), F.col("row").alias("__row"), "kept")
+    done = dedup(docs, scratch, batches).where("kept is not null").select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "row", "kept")
     done = scratch.write(done.distinct(), "cut")
-    names = docs.columns
-    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)))
-    few = done.count() <= MOST_BROADCAST
-    ids = done.select("__id").distinct()
-    ids = F.broadcast(ids) if few else ids
-    same = rows.join(ids, "__id", "left_anti").select(*names)
-    hit = _with_row(rows.join(ids, "__id", "left_semi")).join(done, ["__id", "__row"], "left")
-    text = F.coalesce("kept", "text")
-    new = {"text": text} | ({"n_chars": F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast(docs.schema["n_chars"].dataType))} if "n_chars" in names else {})
-    return same.unionByName(hit.select(*[new[c].alias(c) if c in new else F.col(c) for c in names]))
+    own = Sheltered(docs)
+    rows = own.df.withColumn("id", F.coalesce(own.col("doc_id").cast("bigint"), F.lit(LAST)))
+    ids = done.select("id").distinct()
+    ids = F.broadcast(ids) if done.count() <= MOST_BROADCAST else ids
+    same = own.restore(rows.join(ids, "id", "left_anti"))
+    hit = _with_row(rows.join(ids, "id", "left_semi"), own.inner["text"]).join(done, ["id", "row"], "left")
+    new = {"text": F.coalesce("kept", own.col("text"))}
+    if "n_chars" in own.names:
+        new["n_chars"] = F.when(F.col("kept").isNull(), own.col("n_chars")).otherwise(F.length("kept").cast(docs.schema["n_chars"].dataType))
+    return same.unionByName(own.restore(hit, new))
 
 
-def _with_row(rows: DataFrame) -> DataFrame:
-    """Add ``__row``, the hash that tells texts with one id apart."""
+def _with_row(rows: DataFrame, text: str) -> DataFrame:
+    """Add ``row``, the hash that tells texts with one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         for batch in batches:
-            own = [xxhash.xxh3_64_intdigest((t or "").encode()) - (1 << 63) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], [*batch.schema.names, "__row"])
+            own = [xxhash.xxh3_64_intdigest((t or "").encode()) - (1 << 63) for t in batch.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], [*batch.schema.names, "row"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{schema}, `__row` bigint")
+    return rows.mapInArrow(run, f"{schema}, `row` bigint")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, lean
+from .common import HELD, Scratch, lean
 
 MAGIC = b"CMRC1\0\0\0"
 #: Ids of a block, and of a chunk before it is closed at the end of a document.
@@ -317,6 +317,9 @@ def _tokens(path: str) -> WordTokens:
     return WordTokens(path)
 
 
+HELD["tokens"] = _tokens.cache_clear
+
+
 def write(docs: DataFrame, path: str, scratch: Scratch, end: int = 1) -> DataFrame:
     """Encode documents and write them as chunks in ascending order of doc_id; the written table.
 
@@ -329,7 +332,7 @@ def write(docs: DataFrame, path: str, scratch: Scratch, end: int = 1) -> DataFra
     ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange(parts, order).sortWithinPartitions(order, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
+        lean("tokens")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         coder, part, seq = _tokens(path), TaskContext.get().partitionId(), 0
         stop = struct.pack("<H", end)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import lean, map_texts
 from .quality import labelled
 
 #: Most labelled rows of each kind that the classifier is fitted on.
@@ -83,6 +83,7 @@ def count_grams(docs: DataFrame, text: str = "text") -> DataFrame:
     """
 
     def run(batches):
+        lean()
         counts = np.zeros(CLASSES**ORDER, np.int64)
         for batch in batches:
             gap = "\0" * (ORDER - 1)
@@ -252,7 +253,7 @@ class _Evidence(dict):
         self.weights = weights
 
     def __missing__(self, token: str) -> tuple[int, ...]:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         low = token.lower()
         words = (low,) if low.isalpha() else _WORDS.findall(low)
@@ -346,8 +347,8 @@ def train(docs: DataFrame, labels: DataFrame, rows_each: int = FIT_ROWS_EACH) ->
     return ToxicityModel(restorer, bias, weights)
 
 
-def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None) -> DataFrame:
-    """``doc_id, score``, or the columns of ``keep`` and score: how likely each whole text is toxic.
+def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None, text: str = "text", name: str = "score") -> DataFrame:
+    """``doc_id, score``, or the columns of ``keep`` and one called ``name``: how likely each whole text is toxic.
 
     Null and empty texts score what a text without evidence does. One row per
     input row, repeated ids included.
@@ -357,10 +358,7 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None)
         seen = _Evidence(model.weights)
         return lambda text: (model.score(text, seen),)
 
-    if keep:
-        own = docs.select(*keep, F.col("text").alias("__scored"))
-        return map_texts(own, "score double", make, keep, "__scored")
-    return map_texts(docs, "score double", make)
+    return map_texts(docs, f"{name} double", make, keep or "doc_id", text)
 
 
 def restore(docs: DataFrame, model: ToxicityModel) -> DataFrame:
