@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe, mixing, neardup, substring, toxicity
-from sparkloom.llm.common import Scratch, documents, table
+from sparkloom.llm.common import Scratch, Sheltered, documents, table
 from sparkloom.llm.queries import BYTE_BPE
 
 #: Production mixture of the pipeline: nine tenths of the words that are left, each document once.
@@ -23,9 +23,9 @@ BUDGET_PERCENT, EPOCHS = 90, 1
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model doesn't reject; it learns from the stage's own input."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    columns = docs.columns
-    scored = toxicity.score(docs, model, keep=columns)
-    return scored.where(F.col("score") < toxicity.THRESHOLD).select(*columns)
+    own = Sheltered(docs)
+    scored = toxicity.score(own.df, model, list(own.inner.values()), own.inner["text"])
+    return own.restore(scored.where(F.col("score") < toxicity.THRESHOLD))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
