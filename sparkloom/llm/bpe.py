@@ -25,7 +25,7 @@ from .common import HELD, map_texts
 #: The pre-tokenizer pattern of the byte-level vocabulary.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces and pairs that a worker remembers before it starts afresh.
-REMEMBERED_PIECES, REMEMBERED_PAIRS = 150_000, 300_000
+REMEMBERED_PIECES, REMEMBERED_PAIRS = 200_000, 400_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -78,6 +78,7 @@ class BpeCodec:
                 raise ValueError(f"token {whole} is made by two merges")
             parts[whole] = (a, b, rank)
         self._parts = parts
+        self._spines: dict[int, list[tuple[int, float]]] = {}
         self._automaton = ahocorasick.Automaton()
         for token, data in raw.items():
             if token not in added:
@@ -89,11 +90,15 @@ class BpeCodec:
 
     def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
         """What stands at a token's edge while it is built, and the rank of the merge that takes it up."""
-        spine, until, parts = [(token, math.inf)], math.inf, self._parts
-        while token in parts:
-            until = parts[token][2]
-            token = parts[token][side]
-            spine.append((token, until))
+        key = token << 1 | side
+        spine = self._spines.get(key)
+        if spine is None:
+            spine, until, parts = [(token, math.inf)], math.inf, self._parts
+            while token in parts:
+                until = parts[token][2]
+                token = parts[token][side]
+                spine.append((token, until))
+            self._spines[key] = spine
         return spine
 
     def compatible(self, first: int, second: int) -> bool:
@@ -107,11 +112,15 @@ class BpeCodec:
         known = self._compatible.get(key)
         if known is None:
             merge, left = self._merge, self._spine(second, 0)
-            known = not any(
-                (rank := merge.get((x, y))) is not None and rank < x_until and rank <= y_until
-                for x, x_until in self._spine(first, 1)
-                for y, y_until in left
-            )
+            known = True
+            for x, x_until in self._spine(first, 1):
+                for y, y_until in left:
+                    rank = merge.get((x, y))
+                    if rank is not None and rank < x_until and rank <= y_until:
+                        known = False
+                        break
+                if not known:
+                    break
             if len(self._compatible) >= REMEMBERED_PAIRS:
                 self._compatible.clear()
             self._compatible[key] = known
