@@ -9,8 +9,9 @@ a signature takes time linear in the set.
 
 Texts with equal shingle sets are one node. Bands of the signature put nodes
 into buckets; within a bucket nodes are compared with its centre instead of
-with each other, and again in narrower buckets where classes stay apart. Links
-are checked exactly; classes are connected components.
+with each other, and again in narrower buckets where classes stay apart. What
+still stays apart in a bucket is compared with each other, in blocks. Links are
+checked exactly; classes are connected components.
 """
 
 from __future__ import annotations
@@ -32,6 +33,9 @@ SHINGLE, LEAST = 5, 0.8
 COORDINATES, ROWS, SHARED = 128, 4, 4
 #: Later rounds look at nodes that agree in a band and in further ones at these distances from it.
 DEEPER = (((1,), (2,), (3,), (5,)), ((1, 3), (2, 5), (4, 9), (7, 11)))
+#: Nodes and bytes of shingles in a block of what the centres leave open. A block's elements are counted by pairs
+#: of nodes if at most FEW hold them, else by matrix products of so many columns.
+BLOCK, BLOCK_BYTES, FEW, COLUMNS = 256, 4 << 20, 16, 4096
 #: Ids that are broadcast, at 8 bytes each, to read fewer texts; beyond, the join alone decides.
 MOST_BROADCAST = 500_000
 
@@ -180,6 +184,74 @@ def _checked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements any two of the sets share, above the diagonal."""
+    m = len(sets)
+    value, owner = np.concatenate(sets), np.repeat(np.arange(m), [len(s) for s in sets])
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], owner[order]
+    start = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+    holders = np.diff(np.append(start, len(value)))
+    column, held = np.repeat(np.cumsum(holders > FEW) - 1, holders), np.repeat(holders, holders)
+    out = np.zeros((m, m))
+    few = (held > 1) & (held <= FEW)
+    v, o = value[few], owner[few]
+    for apart in range(1, FEW):
+        same = v[apart:] == v[:-apart]
+        if not same.any():
+            break
+        out += np.bincount(o[:-apart][same] * m + o[apart:][same], minlength=m * m).reshape(m, m)
+    o, c = owner[held > FEW], column[held > FEW]
+    for at in range(0, int(c[-1]) + 1 if len(c) else 0, COLUMNS):
+        lo, hi = np.searchsorted(c, [at, at + COLUMNS])
+        x = np.zeros((m, COLUMNS), np.float32)
+        x[o[lo:hi], c[lo:hi] - at] = 1
+        out += x @ x.T
+    return np.triu(out, 1)
+
+
+def _compared(left: DataFrame, texts: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """The similar pairs ``a, b`` of any two nodes of different classes in a bucket of ``key, id, class``.
+
+    A bucket's nodes are dealt to blocks of bounded size, and any two blocks
+    meet in one group. Nodes of its largest class don't meet each other.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
+        known = _WordHash()
+        for batch in batches:
+            own = [shingles(t, known).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["id", "own"])
+
+    def compare(group: pa.Table) -> pa.Table:
+        lean()
+        ids, classes = (group.column(n).to_numpy() for n in ("id", "class"))
+        own = [np.frombuffer(x, np.uint64) for x in group.column("own").to_pylist()]
+        size, both = np.array([len(x) for x in own]), overlaps(own)
+        good = np.triu(both / (size[:, None] + size[None, :] - both) >= least, 1) & (classes[:, None] != classes[None, :])
+        i, j = np.nonzero(good)
+        return pa.table({"a": pa.array(np.minimum(ids[i], ids[j])), "b": pa.array(np.maximum(ids[i], ids[j]))})
+
+    own = scratch.write(texts.select("id", "text").mapInArrow(sets, "id bigint, own binary"), "open-sets")
+    placed = left.join(own.select("id", F.length("own").alias("bytes")), "id")
+    parts = placed.groupBy("key", "class").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    most = parts.groupBy("key").agg(F.max(F.struct("n", "class", "bytes")).alias("most"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+
+    def blocks(n, size):
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+
+    most = most.select(
+        "key", F.col("most.class").alias("largest"), blocks(F.col("most.n"), F.col("most.bytes")).alias("p"), blocks(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")).alias("q")
+    )
+    dealt = left.join(most, "key").withColumn("inside", F.col("class") == F.col("largest"))
+    mine = F.when(F.col("inside"), F.pmod(F.xxhash64("id"), F.col("p"))).otherwise(F.col("p") + F.pmod(F.xxhash64("id"), F.col("q"))).cast("bigint")
+    other = F.explode(F.sequence(F.when(F.col("inside"), F.col("p")).otherwise(F.lit(0)), F.col("p") + F.col("q") - 1))
+    dealt = dealt.withColumn("mine", mine).select("key", "id", "class", "mine", other.alias("other"))
+    dealt = dealt.select("key", "id", "class", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    return dealt.join(own, "id").groupBy("key", "lo", "hi").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
 def components(nodes: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """``id, class``: the least id that links lead to, by label passing with pointer jumping.
 
@@ -207,9 +279,10 @@ def links(nodes: DataFrame, texts_of, scratch: Scratch, least: float = LEAST) ->
     node with the fullest buckets, its centre, is compared with all. Where a
     bucket then still holds several classes, its nodes are dealt to narrower
     buckets, of nodes that agree in more bands, each with a centre of its own.
-    So every round compares as many pairs as there are nodes in buckets, and
-    never all pairs of a bucket. A link that no centre's class holds in any of
-    the some thirteen bands it shares is the only one that can be missed.
+    These rounds compare as many pairs as there are nodes in buckets. At last
+    the nodes besides the first centre of a bucket that are in several classes
+    are compared with each other, so no bucket has two classes that a link of
+    its nodes would join.
     """
     met = nodes.select("id", F.posexplode("bands").alias("band", "key"))
     full = met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -235,6 +308,8 @@ def links(nodes: DataFrame, texts_of, scratch: Scratch, least: float = LEAST) ->
             dealt = buckets.select("key", "id", F.col("id").alias("class"))
         centre = dealt.join(rank, "id").groupBy("key").agg(F.max(F.struct("fame", "id", "class")).alias("c"))
         centre = centre.select("key", F.col("c.id").alias("b"), F.col("c.class").alias("class_b"))
+        if turn == 0:
+            first = centre = scratch.write(centre, "centres")
         pairs = dealt.join(centre, "key").where("class != class_b").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -247,6 +322,14 @@ def links(nodes: DataFrame, texts_of, scratch: Scratch, least: float = LEAST) ->
         tested = near.select("a", "b") if tested is None else tested.unionByName(near.select("a", "b"))
         if turn == 0 or not good.isEmpty():
             classes = components(some, passed, scratch, f"classes{turn}")
+    around = buckets.join(first.select("key", "b"), "key").where("id != b").select("key", "id").join(classes, "id")
+    open_ = around.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x != y").select("key")
+    left = scratch.write(around.join(open_, "key", "left_semi"), "open")
+    if not left.isEmpty():
+        good = scratch.write(_compared(left, texts_of(left.select("id").distinct()), least, scratch), "links-open")
+        passed = passed.unionByName(good)
+        if not good.isEmpty():
+            classes = components(some, passed, scratch, "classes-open")
     return passed, classes
 
 

@@ -258,6 +258,19 @@ def test_near_duplicate_classes_equal_brute_force(spark, frame, corpus):
     assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == {root(i) for i in ids}
 
 
+def test_links_in_a_large_family_just_below_the_threshold_are_found(spark):
+    """1,000 texts share a passage and are no links of each other; every tenth has a partner that shares a little more."""
+    passage = [f"t{i}" for i in range(504)]
+    family = {i: passage + [f"a{i}w{k}" for k in range(70)] for i in range(1000)}
+    family |= {10_000 + i: family[i][:516] + [f"b{i}w{k}" for k in range(58)] for i in range(0, 1000, 10)}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in family.items()}
+    alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in [(0, 1), (0, 10_000), (1, 10_000), (10_000, 10_010)]}
+    assert 0.77 < alike[0, 1] < 0.8 < alike[0, 10_000] < 0.82 and max(alike[1, 10_000], alike[10_000, 10_010]) < 0.8
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in family.items()], "doc_id bigint, text string").repartition(5)
+    got = {row.doc_id: row.class_id for row in neardup.classify(frame, Scratch(spark, "t")).collect()}
+    assert got == {i: i % 10_000 for i in family}
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(4)
     pool = rng.integers(0, 1 << 63, 400).astype(np.uint64)
