@@ -220,7 +220,7 @@ class IncrementalDedup:
         open_ = first.where("kinds > 1")
         open_ = open_.join(open_.where("first > lo").select("fp").distinct(), "fp", "left_semi")
         asked = self.scratch.write(
-            open_.groupBy(F.col("first").alias("id"), "row").agg(F.collect_list(F.struct("fp", "start", "n")).alias("asked")), f"{name}-asked"
+            open_.groupBy(F.col("first").alias("id"), "row").agg(F.collect_list(F.struct("fp", "seg", "start", "n")).alias("asked")), f"{name}-asked"
         )
         many = asked.count()
         texts = self._texts[0]
@@ -228,7 +228,9 @@ class IncrementalDedup:
             texts = texts.unionByName(more)
         windows = self.scratch.write(self._windows(_few(texts, asked, many), asked), f"{name}-windows")
         least = windows.groupBy("fp", "window").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("last > first")
-        parts = windows.join(least.select("fp", "window", "first"), ["fp", "window"]).where("id > first").select("id", "row", "start", F.lit(1).alias("n"))
+        parts = windows.join(least.select("fp", "window", "first"), ["fp", "window"]).where("id > first").select("id", "fp", "seg", "offset")
+        # their verdict holds at every place where the document has the segment
+        parts = places.join(parts, ["id", "fp", "seg"]).select("id", "row", (F.col("start") + F.col("offset")).alias("start"), F.lit(1).alias("n"))
         ranges = whole.unionByName(parts).groupBy("id", "row").agg(F.collect_list(F.struct("start", "n")).alias("windows"))
         ranges = self.scratch.write(ranges, f"{name}-ranges")
         if len(self.index.runs) >= FAN_IN:
@@ -237,7 +239,7 @@ class IncrementalDedup:
 
     @staticmethod
     def _windows(texts: DataFrame, asked: DataFrame) -> DataFrame:
-        """Each window of the asked segments, by content hash."""
+        """Each window of the asked segments, by content hash, and its offset in the segment."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lean()
@@ -249,17 +251,18 @@ class IncrementalDedup:
                     words = Rolling(words_of(text or ""), known)
                     n = np.array([a["n"] for a in asks])
                     start = np.concatenate([np.arange(a["start"], a["start"] + a["n"]) for a in asks])
-                    fp = np.repeat(np.array([a["fp"] for a in asks], np.int64), n)
+                    offset = start - np.repeat([a["start"] for a in asks], n)
+                    fp, seg = (np.repeat(np.array([a[k] for a in asks], np.int64), n) for k in ("fp", "seg"))
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(fp), pa.array(words.runs(1, start, WINDOW).view(np.int64)),
-                            pa.array(np.full(len(fp), key, np.int64)), pa.array(np.full(len(fp), row, np.int64)), pa.array(start.astype(np.int32)),
+                            pa.array(np.full(len(fp), key, np.int64)), pa.array(seg), pa.array(offset.astype(np.int32)),
                         ],
-                        ["fp", "window", "id", "row", "start"],
+                        ["fp", "window", "id", "seg", "offset"],
                     )
 
         joined = texts.withColumn("id", F.coalesce("doc_id", F.lit(LAST))).join(asked, "id")
-        return joined.select("id", "row", "text", "asked").mapInArrow(run, "fp bigint, window bigint, id bigint, row bigint, start int").distinct()
+        return joined.select("id", "row", "text", "asked").mapInArrow(run, "fp bigint, window bigint, id bigint, seg bigint, offset int").distinct()
 
 
 def kept_words(text: str, windows: list) -> tuple[list[bytes], int]:

@@ -193,6 +193,23 @@ def test_substring_dedup_equals_brute_force(spark, frame, corpus, batches):
         assert got[i].sha == hashlib.sha256(" ".join(texts[i].split()).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("batches", [1, 2])
+def test_substring_dedup_settles_every_place_of_a_segment(spark, batches):
+    """Documents, and rows of one id, that repeat a passage with its surroundings; an earlier document has the passage alone."""
+    r = random.Random(8)
+    rows = []
+    for i in range(12):
+        passage = prose(r, 70)
+        block = f"{prose(r, 80)} {passage} {prose(r, 80)}"
+        rows.append((i, f"{prose(r, 60)} {passage} {prose(r, 60)}"))
+        rows += [(100 + i, f"{block} {prose(r, n)} {block}") for n in ((30,) if i % 2 else (30, 50))]
+    early = [row for row in rows if row[0] < 100]
+    want = sorted((i, " ".join(repeated([*early, (i, text)] if i >= 100 else early)[i])) for i, text in rows)
+    texts = {hashlib.sha256(text.encode()).hexdigest(): text for _, text in rows}
+    got = substring.dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), Scratch(spark, "t"), batches).collect()
+    assert sorted((g.doc_id, texts[g.sha] if g.kept is None else g.kept) for g in got) == want
+
+
 def test_cut_documents_keeps_columns_and_leaves_others_alone(spark, frame, corpus):
     out = substring.cut_documents(frame, Scratch(spark, "t"))
     assert out.columns == frame.columns
