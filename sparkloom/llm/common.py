@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -86,9 +87,18 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str = "") -> None:
+    def _path(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def folder(self, name: str) -> str:
+        """The full URI of a folder for files that tasks write themselves."""
+        path, store = self._path(name)
+        return store.makeQualified(path).toString()
+
+    def drop(self, name: str = "") -> None:
+        path, store = self._path(name)
+        store.delete(path, True)
 
 
 def crc_mod(doc_id: Column, modulus: int) -> Column:
@@ -112,6 +122,32 @@ class Sheltered:
         return df.select(*[(new or {}).get(n, self.col(n)).alias(n) for n in self.names])
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch whose texts in ``column`` have at most ``most`` bytes, or that are one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    at = held = 0
+    for i, size in enumerate(sizes):
+        if i > at and held + size > most:
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += size
+    if at < len(sizes):
+        yield batch.slice(at)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have ``least`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= least:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def map_texts(
     df: DataFrame,
     schema: str,

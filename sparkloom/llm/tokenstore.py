@@ -1,218 +1,50 @@
-"""Compact binary files of token ids, by a context-mixing range coder.
-
-A file is a row of chunks; a chunk holds whole documents in order, as a
-document index and blocks of ``BLOCK`` ids. Each block is coded on its own:
-its model starts afresh, and a checksum covers its ids.
-
-For each id, the last followers of the previous id (order 1) and of the
-previous two (order 2) are predicted. Their confidences and whether they agree
-select an adaptive mixture of three outcomes: the order-2 prediction, the
-order-1 prediction, or another id, which is coded under an adaptive order-0
-distribution of its leading bits. A carryless range coder with 64-bit bounds
-codes the outcomes. All blocks of a chunk are coded in lockstep, one id of
-each block at a time, by array operations.
+"""Compact binary files of token ids.
+
+A file holds the documents of one range of ids, as chunks one after the other;
+a chunk holds whole documents in order: a document index, the statistics of
+its ids, and their blocks, coded by ``rangecoder``. Each block is coded on its
+own and has a checksum of its ids; another covers all before the blocks. A
+Parquet table lists the chunks: file, place, number of ids.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
-import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import HELD, Scratch, lean
-
-MAGIC = b"CMRC1\0\0\0"
-#: Ids of a block, and of a chunk before it is closed at the end of a document.
-BLOCK, CHUNK = 2048, 1 << 23
-#: Slots of the order-1 and order-2 tables of a block; leading classes of order 0.
-SLOTS1, SLOTS2, CLASSES = 512, 1024, 16
-#: Bits of a mixture weight and of a class, and how fast both adapt. Weights and classes are kept with 16 bits.
-MIX_BITS, CLASS_BITS, _MIX_RATE, _CLASS_RATE = 10, 8, 4, 5
-_MIX_ONE, _ONE = 1 << MIX_BITS, 1 << 16
-#: Least distance of class bounds; it stays over one unit of CLASS_BITS while they adapt.
-_GAP = 320
-_EDGES = np.arange(CLASSES + 1, dtype=np.int32)[:, None]
-_LOW32, _S32, _U1 = np.uint64(0xFFFFFFFF), np.uint64(32), np.uint64(1)
-#: Mixture contexts: confidence of order 2 and of order 1 (0 to 3 each), agreement.
-_CONTEXTS = 32
-
-
-def _low_bits(vocabulary: int) -> int:
-    return max(0, (vocabulary - 1).bit_length() - (CLASSES - 1).bit_length())
-
+from .common import HELD, Scratch, gathered, lean
+from .rangecoder import BLOCK, Corrupt, Statistics, decode_blocks, encode_blocks
 
-class _Lanes:
-    """Model and bounds of one block each; both coders drive it in the same way.
+MAGIC = b"CMRC2\0\0\0"
+#: Ids of a chunk before it is closed at the end of a document.
+CHUNK = 1 << 23
+#: Bytes of rows that are encoded together.
+TEXT_BYTES = 8 << 20
 
-    Table entries hold an id and its confidence, mixture entries the weight of
-    the order-2 outcome and of order 1 among the rest.
-    """
 
-    def __init__(self, lanes: int, vocabulary: int):
-        self.bits = _low_bits(vocabulary)
-        self.total = MIX_BITS + CLASS_BITS + self.bits
-        self.p1, self.p2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        self.table1, self.table2 = np.zeros(lanes * SLOTS1, np.uint32), np.zeros(lanes * SLOTS2, np.uint32)
-        self.base1, self.base2 = np.arange(lanes, dtype=np.int64) * SLOTS1, np.arange(lanes, dtype=np.int64) * SLOTS2
-        self.mix = np.full(lanes * _CONTEXTS, (_ONE // 3) << 16 | _ONE // 3, np.uint32)
-        self.base_mix = np.arange(lanes, dtype=np.int64) * _CONTEXTS
-        self.classes = np.tile(_EDGES * np.int32(_ONE // CLASSES), (1, lanes))
-        self.every = np.arange(lanes)
-        self.low, self.span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-
-    def predict(self, n: int) -> None:
-        """Set predictions ``q1, q2`` and the bounds of their outcomes, ``a`` and ``ab``, of ``_MIX_ONE``."""
-        p1, p2 = self.p1[:n], self.p2[:n]
-        self.at1 = self.base1[:n] + ((p1 * np.uint32(40503) >> np.uint32(5)) & np.uint32(SLOTS1 - 1))
-        self.at2 = self.base2[:n] + ((p1 * np.uint32(2654435761) + p2 * np.uint32(2246822519) >> np.uint32(15)) & np.uint32(SLOTS2 - 1))
-        e1, e2 = self.table1.take(self.at1), self.table2.take(self.at2)
-        self.q1, self.q2, self.c1, self.c2 = e1 >> np.uint32(2), e2 >> np.uint32(2), e1 & np.uint32(3), e2 & np.uint32(3)
-        self.agree = self.q1 == self.q2
-        self.at_mix = self.base_mix[:n] + (self.c2 * np.uint32(8) + self.c1 * np.uint32(2) + self.agree)
-        both = self.mix.take(self.at_mix)
-        self.w2, self.w1 = (both >> np.uint32(16)).astype(np.int32), (both & np.uint32(0xFFFF)).astype(np.int32)
-        self.a = self.w2 >> (16 - MIX_BITS)
-        self.ab = self.a + np.maximum((_MIX_ONE - self.a) * (self.w1 >> (16 - MIX_BITS)) >> MIX_BITS, 1) * ~self.agree
-
-    def bounds(self, n: int, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and width of ids ``x`` in units of 2^-total; sets the class of each."""
-        low = np.uint64(self.bits)
-        self.kind = x >> np.uint32(self.bits)
-        at = self.kind.astype(np.int64) * len(self.every) + self.every[:n]
-        flat = self.classes.reshape(-1)
-        first = (flat.take(at) >> (16 - CLASS_BITS)).astype(np.uint64)
-        width = (flat.take(at + len(self.every)) >> (16 - CLASS_BITS)).astype(np.uint64) - first
-        rest = (_MIX_ONE - self.ab).astype(np.uint64)
-        other = (first << low) + (x & np.uint32((1 << self.bits) - 1)) * width
-        shift = np.uint64(CLASS_BITS + self.bits)
-        a, ab, hit = self.a.astype(np.uint64) << shift, self.ab.astype(np.uint64) << shift, hit1 | hit2
-        begin = np.where(hit2, np.uint64(0), np.where(hit1, a, ab + rest * other))
-        size = np.where(hit, np.where(hit2, a, ab - a), rest * width)
-        return begin, size
-
-    def update(self, n: int, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """Learn the ids that came."""
-        w2 = self.w2 + (((hit2 * np.int32(_ONE)) - self.w2) >> _MIX_RATE)
-        tell = ~(hit2 | self.agree)
-        w1 = self.w1 + ((((hit1 * np.int32(_ONE)) - self.w1) >> _MIX_RATE) * tell)
-        np.minimum(np.maximum(w2, 128, out=w2), _ONE - 1024, out=w2)
-        np.minimum(np.maximum(w1, 128, out=w1), _ONE - 1024, out=w1)
-        self.mix[self.at_mix] = (w2 << 16 | w1).astype(np.uint32)
-        head = x << np.uint32(2)
-        self.table2[self.at2] = head | (np.minimum(self.c2 + np.uint32(1), np.uint32(3)) * hit2)
-        self.table1[self.at1] = head | (np.minimum(self.c1 + np.uint32(1), np.uint32(3)) * (x == self.q1))
-        self.p2[:n], self.p1[:n] = self.p1[:n], x
-        edges = self.classes[:, :n]
-        move = (_EDGES > self.kind.astype(np.int32)) * np.int32(_ONE - CLASSES * _GAP)  # bounds above move to the top, the others to the bottom
-        move += _EDGES * np.int32(_GAP)
-        move -= edges
-        move >>= _CLASS_RATE
-        move *= ~(hit2 | hit1)
-        edges += move
-
-    def narrow(self, n: int, step: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Take the interval; the lanes that then move on by 32 bits, with the moved-out bits, and the shift."""
-        shift = step * begin
-        self.low[:n] += shift
-        self.span[:n] = step * size
-        (lanes,) = np.nonzero(self.span <= _LOW32)
-        lo, sp = self.low[lanes], self.span[lanes]
-        apart = (lo ^ (lo + sp - _U1)) > _LOW32  # the bound between is as far as the interval may reach
-        sp = np.where(apart, (~lo + _U1) & _LOW32, sp)
-        self.low[lanes], self.span[lanes] = lo << _S32, sp << _S32
-        return lanes, lo >> _S32, shift
-
-
-def encode_blocks(ids: np.ndarray, vocabulary: int = 1 << 16) -> list[bytes]:
-    """The coded blocks of ``ids`` (below ``vocabulary``, 2^16 at most)."""
-    count = -(-len(ids) // BLOCK)
-    if not count:
-        return []
-    padded = np.zeros(count * BLOCK, np.uint32)
-    padded[: len(ids)] = ids
-    columns = np.ascontiguousarray(padded.reshape(count, BLOCK).T)
-    tail = len(ids) - (count - 1) * BLOCK
-    lanes = _Lanes(count, vocabulary)
-    words, size = np.zeros((count, BLOCK + 4), np.uint32), np.zeros(count, np.int64)
-    for t in range(BLOCK if count > 1 else tail):
-        n = count if t < tail else count - 1
-        x = columns[t, :n]
-        lanes.predict(n)
-        hit2 = x == lanes.q2
-        hit1 = (x == lanes.q1) & ~hit2
-        begin, width = lanes.bounds(n, x, hit2, hit1)
-        moved, out, _ = lanes.narrow(n, lanes.span[:n] >> np.uint64(lanes.total), begin, width)
-        words[moved, size[moved]] = out
-        size[moved] += 1
-        lanes.update(n, x, hit2, hit1)
-    words[lanes.every, size], words[lanes.every, size + 1] = lanes.low >> _S32, lanes.low & _LOW32
-    return [words[i, : size[i] + 2].astype("<u4").tobytes() for i in range(count)]
-
-
-def decode_blocks(blocks: list[bytes], total: int, vocabulary: int = 1 << 16) -> np.ndarray:
-    """The ``total`` ids of coded blocks."""
-    count = len(blocks)
-    if not count:
-        return np.zeros(0, np.uint16)
-    longest = max(map(len, blocks)) // 4 + 2
-    words = np.zeros((count, longest), np.uint64)
-    for i, b in enumerate(blocks):
-        words[i, : len(b) // 4] = np.frombuffer(b, "<u4")
-    tail = total - (count - 1) * BLOCK
-    lanes = _Lanes(count, vocabulary)
-    low, deep = np.uint64(lanes.bits), np.uint64(CLASS_BITS + lanes.bits)
-    gap = words[:, 0] << _S32 | words[:, 1]  # the code less the lower bound
-    at = np.full(count, 2, np.int64)
-    columns = np.zeros((BLOCK, count), np.uint16)
-    most = np.uint64((1 << lanes.total) - 1)
-    for t in range(BLOCK if count > 1 else tail):
-        n = count if t < tail else count - 1
-        lanes.predict(n)
-        step = lanes.span[:n] >> np.uint64(lanes.total)
-        value = np.minimum(gap[:n] // step, most)
-        top = (value >> deep).astype(np.int32)
-        hit2 = top < lanes.a
-        hit1 = ~hit2 & (top < lanes.ab)
-        inside = np.where(hit2 | hit1, np.uint64(0), value - (lanes.ab.astype(np.uint64) << deep)) // (_MIX_ONE - lanes.ab).astype(np.uint64)
-        limit = ((inside >> low).astype(np.int32) + np.int32(1)) << (16 - CLASS_BITS)  # a class begins at or below it: edge >> 8 <= x
-        kind = (lanes.classes[1:CLASSES, :n] < limit).sum(0)
-        spot = kind * count + lanes.every[:n]
-        flat = lanes.classes.reshape(-1)
-        first = (flat.take(spot) >> (16 - CLASS_BITS)).astype(np.uint64)
-        part = (inside - (first << low)) // ((flat.take(spot + count) >> (16 - CLASS_BITS)).astype(np.uint64) - first)
-        x = np.where(hit2, lanes.q2, np.where(hit1, lanes.q1, (kind.astype(np.uint64) << low | part).astype(np.uint32)))
-        begin, width = lanes.bounds(n, x, hit2, hit1)
-        moved, _, shift = lanes.narrow(n, step, begin, width)
-        gap[:n] -= shift
-        gap[moved] = gap[moved] << _S32 | words[moved, at[moved]]
-        at[moved] += 1
-        columns[t, :n] = x
-        lanes.update(n, x, hit2, hit1)
-    return columns.T.reshape(-1)[:total]
-
-
-class Corrupt(ValueError):
-    """A chunk that is no chunk, or whose ids don't have their checksum."""
-
-
-def pack_chunk(doc_ids: list[int | None], counts: list[int], ids: np.ndarray, vocabulary: int = 1 << 16) -> bytes:
-    """A chunk: magic, sizes, document index (id, whether it is null, number of ids), block table, blocks."""
-    blocks = encode_blocks(ids, vocabulary)
+def pack_chunk(doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
+    """A chunk: magic, sizes, document index (id, whether it is null, number of ids), statistics, block table, blocks."""
+    known = Statistics.of(ids)
+    blocks, stats = encode_blocks(ids, known), known.packed()
     sums = [zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].astype("<u2").tobytes()) for i in range(len(blocks))]
-    head = MAGIC + struct.pack("<QQQQ", vocabulary, len(doc_ids), len(ids), len(blocks))
+    head = MAGIC + struct.pack("<QQQQ", len(doc_ids), len(ids), len(blocks), len(stats))
     index = np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes() + np.array([d is None for d in doc_ids], "u1").tobytes() + np.array(counts, "<u8").tobytes()
     table = np.array([[len(b), s] for b, s in zip(blocks, sums, strict=True)], "<u4").tobytes()
-    body = head + index + table
+    body = head + index + stats + table
     return body + struct.pack("<I", zlib.crc32(body)) + b"".join(blocks)
 
 
@@ -221,12 +53,15 @@ def unpack_chunk(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
     try:
         if data[:8] != MAGIC:
             raise Corrupt("no chunk")
-        vocabulary, docs, total, count = struct.unpack_from("<QQQQ", data, 8)
+        docs, total, count, size = struct.unpack_from("<QQQQ", data, 8)
+        if 40 + 17 * docs + size + 8 * count + 4 > len(data):
+            raise Corrupt("length")
         at = 40
         names = np.frombuffer(data, "<i8", docs, at)
         nulls = np.frombuffer(data, "u1", docs, at + 8 * docs)
         counts = np.frombuffer(data, "<u8", docs, at + 9 * docs).astype(np.int64)
-        at += 17 * docs
+        stats = at + 17 * docs
+        at = stats + size
         table = np.frombuffer(data, "<u4", 2 * count, at).reshape(-1, 2)
         at += 8 * count
         if struct.unpack_from("<I", data, at)[0] != zlib.crc32(data[:at]):
@@ -235,7 +70,7 @@ def unpack_chunk(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
         ends = at + np.concatenate([[0], np.cumsum(table[:, 0].astype(np.int64))])
         if ends[-1] != len(data) or counts.sum() != total:
             raise Corrupt("length")
-        ids = decode_blocks([data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], total, vocabulary)
+        ids = decode_blocks([data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], total, Statistics.unpacked(data[stats : stats + size]))
         for i, s in enumerate(table[:, 1]):
             if zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].astype("<u2").tobytes()) != s:
                 raise Corrupt(f"checksum of block {i}")
@@ -244,33 +79,49 @@ def unpack_chunk(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]
     return [None if z else int(d) for d, z in zip(names, nulls, strict=True)], counts, ids
 
 
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Words of letters up to U+024F (but for U+0130, whose lower case is two characters) with marks behind, other than apostrophes.
+_SIMPLE = "^(?P<core>[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)(?P<tail>[!-&(-/:-@\\[-^`{-~]*)$"
 
 
 class WordTokens:
     """Ids of a tokenizer that drops white space and looks at no more than one word at a time.
 
-    So a word's ids are the same wherever it stands, and
-    they are remembered, in packed form.
+    So a word's ids are the same wherever it stands: the distinct words of a
+    batch are encoded and the batch is put together from them. Most words are
+    letters with marks behind; these two parts go to the tokenizer many at a
+    time, in lower case, without its normalizer and pattern, which would leave
+    them as they are; the end-of-word suffix tells their ids apart. That way
+    is taken only where the tokenizer's own agrees with it on ``_PROBES``.
+    Up to ``remembered`` parts of at most ``LONGEST`` characters are kept.
     """
 
-    def __init__(self, path: str, remembered: int = 1_000_000):
-        from tokenizers import Tokenizer
+    LONGEST = 64
+    _PROBES = ("a", "Word", "WORDS", "école", "Straße", "x...", "end.", "no###", "y!?", "ñandú,", "ÿ%%%", "qwrtzp")
+
+    def __init__(self, path: str, remembered: int = 600_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.no_truncation()
-        self._tokenizer.no_padding()
+        def opened():
+            tokenizer = Tokenizer.from_file(path)
+            tokenizer.no_truncation()
+            tokenizer.no_padding()
+            return tokenizer
+
+        self._tokenizer, self._bare = opened(), opened()
+        self.vocabulary = self._tokenizer.get_vocab_size(with_added_tokens=True)
+        if self.vocabulary > 1 << 16:
+            raise ValueError(f"ids of {self.vocabulary} tokens don't fit the 16 bits of a token file")
         self._known: dict[str, bytes] = {}
         self._most = remembered
-        added = [(t.content, i) for i, t in self._tokenizer.get_added_tokens_decoder().items() if not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
-        self._part = min(added, key=lambda x: x[1]) if added else None
-        if self._part and (not self._lowers() or self._part[0] != self._part[0].lower()):
-            self._part = None
-        self._lower = Tokenizer.from_file(path)
-        self._lower.no_truncation()
-        self._lower.no_padding()
-        self._lower.normalizer = None
-        self.vocabulary = self._tokenizer.get_vocab_size(with_added_tokens=True)
+        with open(path, encoding="utf-8") as f:
+            suffix = json.load(f)["model"].get("end_of_word_suffix")
+        self._ends = np.zeros(1 << 16, bool)
+        self._ends[[i for t, i in self._tokenizer.get_vocab(with_added_tokens=False).items() if suffix and t.endswith(suffix)]] = True
+        self._bare.normalizer = None
+        self._bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self._simple = bool(suffix) and self._lowers()
+        probes = pa.array(self._PROBES)
+        self._simple = self._simple and [x.tolist() for x in self.ids(probes)] == [self._plainly([x])[0].tolist() for x in self._PROBES]
 
     def _lowers(self) -> bool:
         """Whether the normalizer makes lower case of each letter up to U+024F and changes nothing else of a word."""
@@ -278,38 +129,70 @@ class WordTokens:
         normal = self._tokenizer.normalizer
         return normal is not None and all(normal.normalize_str(c) == c.lower() for c in letters)
 
-    def packed(self, text: str) -> bytes:
-        """Little-endian unsigned 16-bit ids of the text."""
-        if _ODD_SPACE.search(text):  # white space to Python, not to the tokenizer
-            return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        words = text.split()
+    def _plainly(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint16) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, parts: list[str], barely: bool) -> np.ndarray:
+        """The packed ids of distinct parts, as an array of bytes objects; ``barely`` if they need no normalizer."""
         known = self._known
-        new = [w for w in set(words) if w not in known]
+        new = [p for p in parts if p not in known]
         if new:
             if len(known) > self._most:
                 known.clear()
-                new = list(set(words))
-            known.update(zip(new, self._encoded(new), strict=True))
-        return b"".join(map(known.__getitem__, words))
-
-    def _encoded(self, words: list[str]) -> list[bytes]:
-        """Packed ids of each word.
-
-        Words whose normal form is plain lower case (letters up to U+024F
-        have no other) go to the tokenizer without its normalizer, in one
-        text; an added token, which stands for itself, parts them.
-        """
-        done: dict[str, bytes] = {}
-        easy = [w for w in words if max(w) < "\u0250" and self._part[0] not in w] if self._part else []
-        if easy:
-            ids = np.array(self._lower.encode_batch_fast([self._part[0].join(easy).lower()], add_special_tokens=False)[0].ids, "<u2")
-            cuts = np.flatnonzero(ids == self._part[1])
-            data, starts, ends = ids.tobytes(), [0, *(2 * cuts + 2).tolist()], [*(2 * cuts).tolist(), 2 * len(ids)]
-            done = dict(zip(easy, (data[a:b] for a, b in zip(starts, ends, strict=True)), strict=True))
-        hard = [w for w in words if w not in done]
-        for w, e in zip(hard, self._tokenizer.encode_batch_fast(hard, add_special_tokens=False), strict=True):
-            done[w] = np.array(e.ids, "<u2").tobytes()
-        return [done[w] for w in words]
+                new = parts
+            if barely:
+                ids = np.array(self._bare.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u2")
+                cuts, data = (2 * np.flatnonzero(self._ends[ids]) + 2).tolist(), ids.tobytes()
+                made = [data[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+            else:
+                made = [x.astype("<u2").tobytes() for x in self._plainly(new)]
+            known.update(zip(new, made, strict=True))
+        out = [known[p] for p in parts]
+        for p in new:
+            if len(p) > self.LONGEST:
+                del known[p]
+        return out
+
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text. Words are what ASCII white space parts; others' white space is the tokenizer's to see."""
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary
+        pair = np.zeros((len(distinct), 2), np.int64)  # the two parts of each word; part 0 is empty
+        packed = [b""]
+
+        def add(parts: pa.Array, barely: bool, into: np.ndarray, side: int) -> None:
+            own = parts.dictionary_encode()
+            values = own.dictionary.to_numpy(zero_copy_only=False).tolist()
+            pair[into, side] = np.asarray(own.indices) + len(packed)
+            packed.extend(self._learn(values, barely) if values else [])
+
+        filled = np.flatnonzero(np.asarray(pc.binary_length(distinct)))
+        if self._simple:
+            found = pc.extract_regex(distinct, _SIMPLE)
+            simple = np.asarray(found.is_valid())
+            some = found.filter(pa.array(simple))
+            core, tail = some.field("core"), some.field("tail")
+            add(pc.utf8_lower(core), True, np.flatnonzero(simple), 0)
+            ended = np.asarray(pc.binary_length(tail)) > 0
+            add(tail.filter(pa.array(ended)), True, np.flatnonzero(simple)[ended], 1)
+            filled = filled[~simple[filled]]
+        add(distinct.take(pa.array(filled)), False, filled, 0)
+        data, size = np.frombuffer(b"".join(packed), "<u2"), np.array([len(p) for p in packed]) // 2
+        data, size = _picked(data, size, pair.ravel())  # of each distinct word
+        size = size.reshape(-1, 2).sum(1)
+        ids, many = _picked(data, size, np.asarray(words.indices))
+        ends = np.concatenate([[0], np.cumsum(many)])
+        edge = ends[np.cumsum(np.asarray(split.value_lengths()))]
+        return np.split(ids, edge[:-1]) if len(texts) else []
+
+
+def _picked(data: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of ``data``, of ``size`` each, put together in the order of ``which``, and their sizes."""
+    many = size[which]
+    ends = np.cumsum(many)
+    shift = (np.cumsum(size) - size)[which] - ends + many
+    return data[np.repeat(shift, many) + np.arange(ends[-1] if len(ends) else 0)], many
 
 
 @lru_cache(maxsize=1)
@@ -319,75 +202,103 @@ def _tokens(path: str) -> WordTokens:
 
 HELD["tokens"] = _tokens.cache_clear
 
+_INDEX = "part int, seq int, file string, place bigint, size bigint, n_docs bigint, n_ids bigint"
 
-def write(docs: DataFrame, path: str, scratch: Scratch, end: int = 1) -> DataFrame:
-    """Encode documents and write them as chunks in ascending order of doc_id; the written table.
 
-    ``part, seq`` order the chunks; ``content`` is a chunk. Null ids come
-    last, equal ids by text; null texts are empty. Every document ends with
-    id ``end``. A task holds one chunk: at most ``CHUNK`` ids and one document.
+def _opened(uri: str):
+    """``(file system, path)`` of a URI of the shared folder: any store that pyarrow opens."""
+    from pyarrow.fs import FileSystem
+
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[5:]
+    return FileSystem.from_uri(uri)
+
+
+def write(docs: DataFrame, path: str, scratch: Scratch, end: int = 1) -> DataFrame:
+    """Encode documents, write them as files in ascending order of doc_id, and return the table of their chunks.
+
+    There is a file for each range of ids, under the scratch folder; ``part,
+    seq`` order the chunks, ``file, place, size`` say where each is. Null ids
+    come last, equal ids by text; null texts are empty. Every document ends
+    with id ``end``; an empty table makes no file. A task holds one chunk: at
+    most ``CHUNK`` ids and one document. A task that runs again writes a file
+    of its own; the table names that of the run that was committed.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = F.col("doc_id").asc_nulls_last()
     ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").repartitionByRange(parts, order).sortWithinPartitions(order, "text")
+    folder = scratch.folder("files")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean("tokens")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder, part, seq = _tokens(path), TaskContext.get().partitionId(), 0
-        stop = struct.pack("<H", end)
+        coder, part, stop = _tokens(path), TaskContext.get().partitionId(), np.array([end], np.uint16)
+        name, place, out = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.cmrc", 0, None
         names: list[int | None] = []
-        texts: list[bytes] = []
+        texts: list[np.ndarray] = []
+        found: list[tuple] = []
         held = 0
 
-        def chunk() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(texts), "<u2")
-            content = pack_chunk(names, [len(t) // 2 for t in texts], ids, max(coder.vocabulary, end + 1))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([content], pa.binary())], ["part", "seq", "n_ids", "content"])
-
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        def close_chunk() -> None:
+            nonlocal out, place, held
+            ids = np.concatenate([x for t in texts for x in (t, stop)])
+            data = pack_chunk(names, [len(t) + 1 for t in texts], ids)
+            if out is None:
+                fs, at = _opened(name)
+                fs.create_dir(at.rpartition("/")[0], recursive=True)
+                out = fs.open_output_stream(at)
+            out.write(data)
+            found.append((part, len(found), name, place, len(data), len(names), len(ids)))
+            place, held = place + len(data), 0
+            names.clear(), texts.clear()
+
+        for batch in gathered(batches, TEXT_BYTES):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), coder.ids(pc.fill_null(batch.column(1), "")), strict=True):
                 names.append(doc_id)
-                texts.append(coder.packed(text or "") + stop)
-                held += len(texts[-1]) // 2
+                texts.append(ids)
+                held += len(ids) + 1
                 if held >= CHUNK:
-                    yield chunk()
-                    names, texts, held, seq = [], [], 0, seq + 1
+                    close_chunk()
         if names:
-            yield chunk()
+            close_chunk()
+        if out is not None:
+            out.close()
+            kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], ["part", "seq", "file", "place", "size", "n_docs", "n_ids"])
 
-    return scratch.write(ordered.mapInArrow(run, "part int, seq int, n_ids bigint, content binary"), "tokens")
+    return scratch.write(ordered.mapInArrow(run, _INDEX), "chunks")
 
 
 def read(chunks: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens, ids`` from written chunks; ``ids`` are little-endian unsigned 32-bit.
+    """``doc_id, start, n_tokens, ids`` from the files of a chunk table; ``ids`` are little-endian unsigned 32-bit.
 
     ``start`` counts the ids of all documents before. Only chunk sizes are
     summed: first those of each part, then those within it. A damaged chunk
     raises ``Corrupt``.
     """
-    sizes = chunks.select("part", "seq", "n_ids")
     before = F.coalesce(F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("base", before).select("part", "base")
+    parts = chunks.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("base", before).select("part", "base")
     inside = F.coalesce(F.sum("n_ids").over(W.partitionBy("part").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.withColumn("inside", inside).join(parts, "part").select("part", "seq", (F.col("base") + F.col("inside")).alias("first"))
+    starts = chunks.withColumn("inside", inside).join(parts, "part").select((F.col("base") + F.col("inside")).alias("first"), "file", "place", "size")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
         for batch in batches:
-            for first, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                names, counts, ids = unpack_chunk(content.as_buffer().to_pybytes())
+            for first, file, place, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                fs, at = _opened(file)
+                with fs.open_input_file(at) as f:
+                    data = f.read_at(size, place)
+                if len(data) != size:
+                    raise Corrupt("length")
+                names, counts, ids = unpack_chunk(data)
                 wide = ids.astype("<u4")
-                at = np.concatenate([[0], np.cumsum(counts)])
+                edge = np.concatenate([[0], np.cumsum(counts)])
                 for a in range(0, len(names), 2000):
                     z = min(a + 2000, len(names))
+                    own = [wide[x:y].tobytes() for x, y in itertools.pairwise(edge[a : z + 1])]
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(names[a:z], pa.int64()), pa.array(first + at[a:z]), pa.array(counts[a:z]),
-                            pa.array([wide[at[i] : at[i + 1]].tobytes() for i in range(a, z)], pa.binary()),
-                        ],
-                        ["doc_id", "start", "n_tokens", "ids"],
-                    )
-
-    joined = chunks.select("part", "seq", "content").join(starts, ["part", "seq"]).select("first", "content")
-    return joined.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+                        [pa.array(names[a:z], pa.int64()), pa.array(first + edge[a:z]), pa.array(counts[a:z]), pa.array(own, pa.binary())], ["doc_id", "start", "n_tokens", "ids"]
+                    )
+
+    tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return starts.repartitionByRange(tasks, "first").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
