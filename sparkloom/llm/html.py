@@ -24,108 +24,208 @@ from .common import map_texts
 
 #: HTML elements without content, with raw content, and those that separate blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object".split())
+RAW = frozenset("script style noscript template iframe svg".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
-#: Elements whose start ends an open element of the same kinds.
+#: Elements that may stand in a head; the start of any other ends it, and an unclosed title.
+IN_HEAD = frozenset("html head title base link meta style script noscript template".split())
+#: Elements whose start ends an open element of the same kinds, unless one of BOUNDS stands between.
 ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = BLOCK - frozenset("body button caption frameset head html legend optgroup option tbody td tfoot th thead title tr".split())
+BOUNDS = frozenset("table ul ol dl select div article section body td".split())
 
-_TAG = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?/][^a-zA-Z>][^>]*>|<!>|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*>)",
-    re.S,
-)
+_OPEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|(!--)|(!\[CDATA\[)|[!?/])")
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+")
+#: Most class words of one element that are features.
+NAMES = 16
+
+
+class Path:
+    """An open element and, through ``parent``, those around it.
+
+    ``fresh`` are the buckets of tags and class words that no element around
+    has; ``top`` those of the innermost block elements. ``worth`` is the sum
+    of their weights under the field that last asked.
+    """
+
+    __slots__ = ("parent", "fresh", "solid", "heading", "hidden", "worth")
+
+    def __init__(self, parent: Path | None, tag: str, names: str, fresh: tuple[int, ...]):
+        self.parent, self.fresh, self.worth = parent, fresh, None
+        solid = parent.solid if parent else ()
+        self.solid = ((tag, names), *solid[:2]) if tag in BLOCK else solid
+        self.heading = tag == "h1" or bool(parent and parent.heading)
+        self.hidden = tag in ("head", "title") or bool(parent and parent.hidden)
+
+    def features(self) -> tuple[int, ...]:
+        found, at = [*_top(self.solid)], self
+        while at:
+            found += at.fresh
+            at = at.parent
+        return tuple(found)
 
 
 @dataclass
 class Block:
-    """A leaf block: its text, the text within links, and its open elements from the outside in."""
+    """A leaf block: its text, the characters of it within links, and its innermost open element."""
 
     text: str
     linked: int
-    path: tuple[tuple[str, str], ...]
+    path: Path | None
 
 
 @lru_cache(maxsize=4096)
 def _names(attributes: str) -> str:
-    found = [p.lower() for m in _NAMES.finditer(attributes) for p in _PARTS.findall(m[1])]
-    return " ".join(dict.fromkeys(found))
+    found = dict.fromkeys(p.lower() for m in _NAMES.finditer(attributes) for p in _PARTS.findall(m[1]))
+    return " ".join(list(found)[:NAMES])
+
+
+class _Stack:
+    """The open elements. Every operation takes constant time for each element opened or closed."""
+
+    def __init__(self):
+        self.open: list[tuple[str, Path, tuple[int, ...]]] = []
+        self._at: dict[str, list[int]] = {}
+        self._bounds: list[int] = []
+        self._held: dict[int, int] = {}
+
+    def path(self) -> Path | None:
+        return self.open[-1][1] if self.open else None
+
+    def many(self, tag: str) -> int:
+        return len(self._at.get(tag, ()))
+
+    def last(self, tags) -> int:
+        """Place of the innermost of these tags, or -1."""
+        return max((self._at[t][-1] for t in tags if self._at.get(t)), default=-1)
+
+    def bound(self) -> int:
+        return self._bounds[-1] if self._bounds else -1
+
+    def push(self, tag: str, names: str) -> None:
+        keys = _own(tag, names)
+        fresh = tuple(k for k in keys if not self._held.get(k))
+        for k in fresh:
+            self._held[k] = 1
+        if tag in BOUNDS:
+            self._bounds.append(len(self.open))
+        self._at.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, Path(self.path(), tag, names, fresh), fresh))
+
+    def cut(self, place: int) -> None:
+        """Close the elements from ``place`` on."""
+        while len(self.open) > place:
+            tag, _, fresh = self.open.pop()
+            self._at[tag].pop()
+            if tag in BOUNDS:
+                self._bounds.pop()
+            for k in fresh:
+                self._held[k] = 0
+
+    def leave_head(self) -> None:
+        for tag in ("head", "title"):
+            if self._at.get(tag):
+                self.cut(self._at[tag][0])
 
 
 def blocks(html: str) -> list[Block]:
-    """The page's leaf blocks with text, in page order; markup in any state is accepted.
+    """The page's leaf blocks with text, in page order; markup in any state is accepted, in linear time.
 
-    Character references are decoded and white space becomes one space.
+    Character references are decoded and white space becomes one space. A
+    ``<`` that opens no markup, or none that ends, is text; an unclosed
+    comment reaches to the end, as does an unclosed script. Once a tag's
+    quotes don't close, quotes no longer hide the ends of later tags.
     """
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack = _Stack()
     parts: list[str] = []
-    linked = links = 0
+    linked = 0
+    last, quotes, cdata = html.rfind(">"), True, True
+
+    def text(piece: str) -> None:
+        nonlocal linked
+        if piece:
+            parts.append(piece)
+            if stack.many("a"):
+                linked += len(piece)
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
-            text = " ".join(unescape("".join(parts)).split())
-            if text:
-                out.append(Block(text, linked, tuple(stack)))
+            found = " ".join(unescape("".join(parts)).split())
+            path = stack.path()
+            if found and not (path and path.hidden):
+                out.append(Block(found, linked, path))
             parts, linked = [], 0
 
     at, size = 0, len(html)
     while at < size:
-        m = _TAG.search(html, at)
+        m = _OPEN.search(html, at)
         if m is None:
-            parts.append(html[at:])
+            text(html[at:])
             break
-        if m.start() > at:
-            piece = html[at : m.start()]
-            parts.append(piece)
-            if links:
-                linked += len(piece)
-        at = m.end()
-        name = m[2]
-        if name is None:
-            if m[0].startswith("<![CDATA["):
-                parts.append(m[0][9:-3])
+        start = m.start()
+        if m[3]:
+            text(html[at:start])
+            end = html.find("-->", m.end())
+            at = size if end < 0 else end + 3
             continue
-        name = name.lower()
+        if start > last:  # nothing ends after here; only a comment could still hide text
+            comment = html.find("<!--", start)
+            text(html[at : comment if comment >= 0 else size])
+            break
+        text(html[at:start])
+        if m[4] and cdata:
+            end = html.find("]]>", m.end())
+            if end >= 0:
+                text(html[m.end() : end])
+                at = end + 3
+                continue
+            cdata = False
+        if m[2] is None:
+            at = html.find(">", m.end()) + 1
+            continue
+        name, rest = m[2].lower(), None
+        if quotes:
+            rest = _REST.match(html, m.end())
+            quotes = rest is not None
+        at = rest.end() if rest else html.find(">", m.end()) + 1
+        attributes = html[m.end() : at]
         if m[1]:
             if name in BLOCK:
                 flush()
-            if any(tag == name for tag, _ in stack):
-                while True:
-                    tag, _ = stack.pop()
-                    links -= tag == "a"
-                    if tag == name:
-                        break
+            place = stack.last((name,))
+            if place >= 0:
+                stack.cut(place)
             continue
-        if name in RAW and not m[3].endswith("/>"):
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|\Z", re.I).search(html, at)
-            at = end.end()
+        if name in RAW and not (name == "svg" and attributes.endswith("/>")):
+            end = _closing(name).search(html, at)
+            at = size if end is None else html.find(">", end.end()) + 1 or size
             continue
         if name in BLOCK:
             flush()
-            closed = ENDS.get(name)
-            if closed or name in ENDS_P:
-                for i in range(len(stack) - 1, -1, -1):
-                    tag = stack[i][0]
-                    if (closed and tag in closed) or (tag == "p" and name in ENDS_P):
-                        links -= sum(t == "a" for t, _ in stack[i:])
-                        del stack[i:]
-                        break
-                    if tag in ("table", "ul", "ol", "dl", "select", "div", "article", "section", "body", "td"):
-                        break
+        if name not in IN_HEAD:
+            stack.leave_head()
+        if name in BLOCK:
+            closed = ENDS.get(name, set()) | ({"p"} if name in ENDS_P else set())
+            place = stack.last(closed)
+            if place >= 0 and place >= stack.bound():
+                stack.cut(place)
         if name == "br":
-            parts.append(" ")
+            text(" ")
         if name not in VOID:
-            stack.append((name, _names(m[3])))
-            links += name == "a"
+            stack.push(name, _names(attributes))
     flush()
-    return [b for b in out if not any(tag in ("head", "title") for tag, _ in b.path)]
+    return out
+
+
+@lru_cache(maxsize=64)
+def _closing(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I)
 
 
 BUCKETS = 1 << 15
@@ -136,22 +236,26 @@ def _bucket(name: str) -> int:
 
 
 @lru_cache(maxsize=20_000)
-def _path_features(path: tuple[tuple[str, str], ...]) -> tuple[int, ...]:
-    solid = [p for p in path if p[0] in BLOCK]
-    found = {f"in:{tag}" for tag, _ in path} | {f"name:{w}" for _, names in path for w in names.split()}
-    found |= {f"up{k}:{tag}" for k, (tag, _) in enumerate(solid[::-1][:3])}
-    found |= {f"near:{w}" for _, names in solid[-2:] for w in names.split()}
+def _own(tag: str, names: str) -> tuple[int, ...]:
+    """Buckets of an element anywhere around a block."""
+    return tuple(dict.fromkeys([_bucket(f"in:{tag}"), *(_bucket(f"name:{w}") for w in names.split())]))
+
+
+@lru_cache(maxsize=20_000)
+def _top(solid: tuple[tuple[str, str], ...]) -> tuple[int, ...]:
+    """Buckets of the innermost block elements, from the inside out."""
+    found = {f"up{k}:{tag}" for k, (tag, _) in enumerate(solid)} | {f"near:{w}" for _, names in solid[:2] for w in names.split()}
     return tuple(sorted({_bucket(f) for f in found}))
 
 
 def features(page: list[Block]) -> list[tuple[int, ...]]:
-    """Buckets of each block's features."""
+    """Buckets of each block's own features, without those of its path."""
     out, heading = [], False
     for i, b in enumerate(page):
         words = b.text.split()
         n, chars = len(words), len(b.text)
         density = round(4 * min(1.0, b.linked / max(chars, 1)))
-        heading = heading or any(tag == "h1" for tag, _ in b.path)
+        heading = heading or bool(b.path and b.path.heading)
         found = [
             f"words:{min(n, 4) if n < 5 else 3 + n.bit_length()}", f"links:{density}", f"end:{b.text[-1] if not b.text[-1].isalnum() else 'a'}",
             f"stops:{min(sum(w[-1] in '.!?' for w in words), 3)}", f"after:{heading}", f"rank:{min(i, 3)}", f"left:{min(len(page) - 1 - i, 3)}",
@@ -159,10 +263,15 @@ def features(page: list[Block]) -> list[tuple[int, ...]]:
         ]
         if n <= 14:
             found += [f"word:{w.strip('.,:;!?()').lower()}" for w in words]
-        out.append((*_path_features(b.path), *{_bucket(f) for f in found}))
+        out.append(tuple({_bucket(f) for f in found}))
     return out
 
 
+def whole_features(page: list[Block]) -> list[tuple[int, ...]]:
+    """Buckets of each block's own features and of its path."""
+    return [(*(b.path.features() if b.path else ()), *own) for b, own in zip(page, features(page), strict=True)]
+
+
 @dataclass
 class Field:
     """Weights of a two-label chain: ``emit`` by bucket and label, ``move`` by label pair, ``start``."""
@@ -171,15 +280,40 @@ class Field:
     move: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     start: np.ndarray = field(default_factory=lambda: np.zeros(2))
 
-    def decode(self, found: list[tuple[int, ...]]) -> list[int]:
-        """The likeliest labels by Viterbi; on a tie, label 0."""
+    def _worth(self, path: Path | None) -> tuple[float, float]:
+        """The weights of a path's features; each element's are summed once."""
+        todo = []
+        while path and (path.worth is None or path.worth[0] is not self):
+            todo.append(path)
+            path = path.parent
+        w0, w1 = path.worth[1:] if path else (0.0, 0.0)
+        for p in reversed(todo):
+            if p.fresh:
+                a, b = self.emit[list(p.fresh)].sum(0).tolist()
+                w0, w1 = w0 + a, w1 + b
+            p.worth = (self, w0, w1)
+        return w0, w1
+
+    def label(self, page: list[Block]) -> list[int]:
+        """The likeliest labels of a page's blocks."""
+        around = []
+        for b in page:
+            w0, w1 = self._worth(b.path)
+            a0, a1 = self.emit[list(_top(b.path.solid))].sum(0).tolist() if b.path and b.path.solid else (0.0, 0.0)
+            around.append((w0 + a0, w1 + a1))
+        return self.decode(features(page), around)
+
+    def decode(self, found: list[tuple[int, ...]], around: list[tuple[float, float]] | None = None) -> list[int]:
+        """The likeliest labels by Viterbi; on a tie, label 0. ``around`` is added to the weights of the features."""
         if not found:
             return []
         emit = self.emit
         best, back = None, []
         (m00, m01), (m10, m11) = self.move.tolist()
-        for keys in found:
+        for i, keys in enumerate(found):
             e0, e1 = emit[list(keys)].sum(0).tolist()
+            if around:
+                e0, e1 = e0 + around[i][0], e1 + around[i][1]
             if best is None:
                 best = (self.start[0] + e0, self.start[1] + e1)
                 continue
@@ -399,16 +533,21 @@ def train(count: int = TRAINING_PAGES, seed: int = 1) -> Field:
     for html, gold in labelled_pages(count, seed):
         page = blocks(html)
         if len(page) == len(gold):
-            pages.append((features(page), gold))
+            pages.append((whole_features(page), gold))
     return fit(pages)
 
 
 def main_text(html: str, model: Field) -> str:
     """The page's main blocks, one a line; empty if there are none."""
     page = blocks(html)
-    return "\n".join(b.text for b, label in zip(page, model.decode(features(page)), strict=True) if label)
+    return "\n".join(b.text for b, label in zip(page, model.label(page), strict=True) if label)
 
 
 def extract(pages: DataFrame, model: Field, key: str | list[str] = "page_id", html: str = "html") -> DataFrame:
-    """``*key, text`` of each page's whole html; null or empty html gives the empty text."""
+    """``*key, text`` of each page's whole html, a row for each row, repeated or not.
+
+    Null or empty html, and pages without main text, give the empty text; very
+    long and malformed pages take linear time; an empty table gives no rows;
+    other columns, whatever their names, play no part.
+    """
     return map_texts(pages, "text string", lambda: lambda page: (main_text(page, model),), key, html)
