@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import ClassVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -77,8 +78,12 @@ class Scratch:
     Written files survive the loss of any executor, unlike cached blocks.
     """
 
+    _watched: ClassVar[list[list[Scratch]]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         short_batches(spark)
+        for made in self._watched:
+            made.append(self)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -87,6 +92,19 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    @classmethod
+    @contextlib.contextmanager
+    def removed(cls) -> Iterator[None]:
+        """Remove all folders that are made within, at the end; what is still read must be written elsewhere by then."""
+        made: list[Scratch] = []
+        cls._watched.append(made)
+        try:
+            yield
+        finally:
+            cls._watched.pop()
+            for scratch in made:
+                scratch.drop()
+
     def _path(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
@@ -96,9 +114,18 @@ class Scratch:
         path, store = self._path(name)
         return store.makeQualified(path).toString()
 
-    def drop(self, name: str = "") -> None:
-        path, store = self._path(name)
-        store.delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Remove tables of these names, or the whole folder."""
+        for name in names or ("",):
+            path, store = self._path(name)
+            store.delete(path, True)
+
+    def keep(self, *names: str) -> None:
+        """Remove all tables but these."""
+        path, store = self._path("")
+        for found in store.listStatus(path):
+            if found.getPath().getName() not in names:
+                store.delete(found.getPath(), True)
 
 
 def crc_mod(doc_id: Column, modulus: int) -> Column:

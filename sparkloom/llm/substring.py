@@ -30,8 +30,6 @@ from .common import Scratch, Sheltered, lean
 WINDOW, GRAM = 50, 12
 #: Batches of ascending doc_id that the query feeds, and runs that are compacted into one.
 BATCHES, FAN_IN = 2, 4
-#: Ids that are broadcast, at 16 bytes each, to read fewer texts; beyond, the join alone decides.
-MOST_BROADCAST = 500_000
 #: Stands for a null doc_id, which comes after all others.
 LAST = (1 << 63) - 1
 
@@ -179,11 +177,11 @@ class FingerprintIndex:
         self.runs = [self.scratch.write(merged.sortWithinPartitions("fp", "seg"), f"run{self._made}")]
 
 
-def _few(docs: DataFrame, wanted: DataFrame, many: int) -> DataFrame:
-    """The documents whose ids are wanted, before texts are shuffled, where that list is small."""
-    if many > MOST_BROADCAST:
-        return docs
-    return docs.join(F.broadcast(wanted.select(F.col("id").alias("__want")).distinct()), F.coalesce(F.col("doc_id"), F.lit(LAST)) == F.col("__want"), "left_semi")
+def _few(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``id, text`` of the documents whose ids are wanted; the planner broadcasts the ids if they are few, so that other texts are not shuffled."""
+    ids = wanted.select(F.col("id").alias("__want")).distinct()
+    rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "text")
+    return rows.join(ids, F.col("id") == F.col("__want"), "left_semi")
 
 
 class IncrementalDedup:
@@ -222,17 +220,17 @@ class IncrementalDedup:
         asked = self.scratch.write(
             open_.groupBy(F.col("first").alias("id"), "row").agg(F.collect_list(F.struct("fp", "seg", "start", "n")).alias("asked")), f"{name}-asked"
         )
-        many = asked.count()
         texts = self._texts[0]
         for more in self._texts[1:]:
             texts = texts.unionByName(more)
-        windows = self.scratch.write(self._windows(_few(texts, asked, many), asked), f"{name}-windows")
+        windows = self.scratch.write(self._windows(_few(texts, asked), asked), f"{name}-windows")
         least = windows.groupBy("fp", "window").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("last > first")
         parts = windows.join(least.select("fp", "window", "first"), ["fp", "window"]).where("id > first").select("id", "fp", "seg", "offset")
         # their verdict holds at every place where the document has the segment
         parts = places.join(parts, ["id", "fp", "seg"]).select("id", "row", (F.col("start") + F.col("offset")).alias("start"), F.lit(1).alias("n"))
         ranges = whole.unionByName(parts).groupBy("id", "row").agg(F.collect_list(F.struct("start", "n")).alias("windows"))
         ranges = self.scratch.write(ranges, f"{name}-ranges")
+        self.scratch.drop(*[f"{name}-{x}" for x in ("shared", "asked", "windows")])
         if len(self.index.runs) >= FAN_IN:
             self.index.compact()
         return heads, ranges
@@ -261,7 +259,7 @@ class IncrementalDedup:
                         ["fp", "window", "id", "seg", "offset"],
                     )
 
-        joined = texts.withColumn("id", F.coalesce("doc_id", F.lit(LAST))).join(asked, "id")
+        joined = texts.join(asked, "id")
         return joined.select("id", "row", "text", "asked").mapInArrow(run, "fp bigint, window bigint, id bigint, seg bigint, offset int").distinct()
 
 
@@ -276,7 +274,7 @@ def kept_words(text: str, windows: list) -> tuple[list[bytes], int]:
     return [w for w, g in zip(words, gone, strict=True) if not g], len(words)
 
 
-def _cut(docs: DataFrame, ranges: DataFrame, many: int) -> DataFrame:
+def _cut(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     """``id, row, text, n_removed`` of the documents that lose words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,8 +289,7 @@ def _cut(docs: DataFrame, ranges: DataFrame, many: int) -> DataFrame:
                 [pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64()))], ["id", "row", "kept", "n_removed"]
             )
 
-    texts = _few(docs.select("doc_id", "text"), ranges, many).withColumn("id", F.coalesce("doc_id", F.lit(LAST)))
-    joined = texts.join(ranges, "id").select("id", "row", "text", "windows")
+    joined = _few(docs, ranges).join(ranges, "id").select("id", "row", "text", "windows")
     return joined.mapInArrow(run, "id bigint, row bigint, kept string, n_removed bigint").dropDuplicates(["id", "row"])
 
 
@@ -321,7 +318,7 @@ def dedup(docs: DataFrame, scratch: Scratch, batches: int = BATCHES) -> DataFram
     out = None
     for batch in batches_of(docs, batches):
         heads, ranges = work.process(batch)
-        cut = _cut(batch.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), ranges, ranges.count())
+        cut = _cut(batch.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), ranges)
         part = heads.join(cut, ["id", "row"], "left").select(
             F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), "row", "n_words", F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"), "sha", "kept"
         )
@@ -340,7 +337,6 @@ def cut_documents(docs: DataFrame, scratch: Scratch, batches: int = BATCHES) ->
     own = Sheltered(docs)
     rows = own.df.withColumn("id", F.coalesce(own.col("doc_id").cast("bigint"), F.lit(LAST)))
     ids = done.select("id").distinct()
-    ids = F.broadcast(ids) if done.count() <= MOST_BROADCAST else ids
     same = own.restore(rows.join(ids, "id", "left_anti"))
     hit = _with_row(rows.join(ids, "id", "left_semi"), own.inner["text"]).join(done, ["id", "row"], "left")
     new = {"text": F.coalesce("kept", own.col("text"))}
