@@ -290,20 +290,23 @@ def fit(rows: list[tuple[np.ndarray, int]], prior: float, rounds: int = 1500) ->
     if not n1 or not n0:
         return float(np.log(prior / (1 - prior))), {}
     size = 1 << EVIDENCE_BITS
-    keys = np.concatenate([r[0] for r in rows])
-    of = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    a = np.bincount(keys[y[of] == 1], minlength=size).astype(float)
-    b = np.bincount(keys[y[of] == 0], minlength=size).astype(float)
+    held = np.zeros((2, size), np.int32)  # documents of each label that hold a bucket
+    for keys, label in rows:
+        held[label][keys] += 1
+    (some,) = np.nonzero((held[0] + held[1] >= 3) & (held[1] * np.float32(n0) > 4 * held[0] * np.float32(n1)))
+    a, b = held[1][some].astype(float), held[0][some].astype(float)
+    del held
     share, both = n1 / (n1 + n0), a + b
     with np.errstate(divide="ignore", invalid="ignore"):
-        g2 = 2 * (np.where(a > 0, a * np.log(a / (both * share)), 0) + np.where(b > 0, b * np.log(b / (both * (1 - share))), 0))
-    g2 = np.where((both >= 3) & (a * n0 > 4 * b * n1), g2, 0)
-    some = np.flatnonzero(g2 >= EVIDENCE_LEAST)
-    some = some[np.argsort(-g2[some], kind="stable")][:EVIDENCE_KEPT]
-    column = np.full(size, -1)
+        g2 = 2 * (a * np.log(a / (both * share)) + np.where(b > 0, b * np.log(b / (both * (1 - share))), 0))
+    some, g2 = some[g2 >= EVIDENCE_LEAST], g2[g2 >= EVIDENCE_LEAST]
+    some = some[np.argsort(-g2, kind="stable")][:EVIDENCE_KEPT]
+    column = np.full(size, -1, np.int16)
     column[some] = np.arange(len(some))
-    use = column[keys] >= 0
-    of, col = of[use], column[keys][use]
+    own = [column[keys] for keys, _ in rows]
+    own = [c[c >= 0] for c in own]
+    of, col = np.repeat(np.arange(len(rows)), [len(c) for c in own]), np.concatenate(own).astype(np.int64)
+    del column, own
     w, bias = np.zeros(len(some)), 0.0
     mean, square = np.zeros(len(some) + 1), np.zeros(len(some) + 1)
     for t in range(1, rounds + 1):
@@ -351,7 +354,9 @@ def score(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None,
     """``doc_id, score``, or the columns of ``keep`` and one called ``name``: how likely each whole text is toxic.
 
     Null and empty texts score what a text without evidence does. One row per
-    input row, repeated ids included.
+    input row, repeated ids included; texts of any length count whole; an
+    empty table gives no rows. Only the columns asked for are read, so others
+    may have any names.
     """
 
     def make():
