@@ -113,16 +113,10 @@ class Statistics:
         return out
 
     @cached_property
-    def start0(self) -> np.ndarray:
-        """By id: where its order-0 share begins."""
-        out = np.zeros(1 << 16, np.uint32)
-        out[self.ids] = np.cumsum(self.freq) - self.freq
-        return out
-
-    @cached_property
-    def width0(self) -> np.ndarray:
-        out = np.zeros(1 << 16, np.uint32)
-        out[self.ids] = self.freq
+    def share0(self) -> np.ndarray:
+        """By id: begin and frequency of its order-0 share, packed."""
+        out = np.zeros(1 << 16, np.uint64)
+        out[self.ids] = (np.cumsum(self.freq) - self.freq) << 32 | self.freq
         return out
 
     @cached_property
@@ -131,19 +125,16 @@ class Statistics:
         return np.repeat(self.ids, self.freq) if len(self.ids) else np.zeros(1 << FREQ0, np.uint16)
 
     @cached_property
-    def row(self) -> np.ndarray:
-        """By id: its order-1 distribution; the last one is empty and stands for none."""
-        out = np.full(1 << 16, len(self.many), np.uint32)
-        out[self.ids[: len(self.many)]] = np.where(self.many > 0, np.arange(len(self.many)), len(self.many))
-        return out
-
-    @cached_property
-    def place(self) -> np.ndarray:
-        """By id: its place among those that order-1 distributions range over; the last one stands for others."""
-        out = np.full(1 << 16, FOLLOWERS, np.uint32)
-        some = self.ids[:FOLLOWERS]
-        out[some] = np.arange(len(some))
-        return out
+    def info(self) -> np.ndarray:
+        """By id, packed: its order-1 distribution (the last one is empty and stands for none), its place among
+        those that distributions range over (the last one stands for others), and the first mixture context after it."""
+        heads, some = len(self.many), self.ids[:FOLLOWERS]
+        row, place = np.full(1 << 16, heads), np.full(1 << 16, FOLLOWERS)
+        row[self.ids[:heads]] = np.where(self.many > 0, np.arange(heads), heads)
+        place[some] = np.arange(len(some))
+        wide = np.clip(np.floor(np.log2(np.maximum(self.many, 1)) / 2), 0, _COVERS - 2).astype(np.int64) + 1
+        cover = np.append(np.where(self.many > 0, wide, 0), 0)
+        return (row << 17 | place << 5 | cover[row] * 4).astype(np.uint32)
 
     @cached_property
     def _heads(self) -> np.ndarray:
@@ -173,12 +164,6 @@ class Statistics:
             out[at] = np.repeat(self.ids[self.who], self.how)
         return out
 
-    @cached_property
-    def cover(self) -> np.ndarray:
-        """By distribution: the first mixture context of its class, by how many ids it spreads over."""
-        kind = np.clip(np.floor(np.log2(np.maximum(self.many, 1)) / 2), 0, _COVERS - 2).astype(np.int64) + 1
-        return (np.append(np.where(self.many > 0, kind, 0), 0) * 4).astype(np.uint32)
-
 
 class _Lanes:
     """What one block each has learned, and its bounds; both coders drive it in the same way."""
@@ -186,6 +171,7 @@ class _Lanes:
     def __init__(self, lanes: int, known: Statistics):
         self.known = known
         self.p1, self.p2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        self.info = np.full(lanes, known.info[0], np.uint32)
         self.table, self.base = np.zeros(lanes * SLOTS, np.uint32), np.arange(lanes, dtype=np.uint32) * np.uint32(SLOTS)
         self.mix, self.base_mix = np.full(lanes * _CONTEXTS, (_ONE // 8) << 16 | _ONE * 7 // 8, np.uint32), np.arange(lanes, dtype=np.uint32) * np.uint32(_CONTEXTS)
         self.low, self.span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
@@ -199,8 +185,8 @@ class _Lanes:
         at += self.base[:n]
         self.at, e = at, self.table.take(at)
         self.q, self.sure = e >> np.uint32(2), e & np.uint32(3)
-        self.row = self.known.row.take(p1)
-        self.at_mix = self.known.cover.take(self.row)
+        self.row = self.info[:n] >> np.uint32(17)
+        self.at_mix = self.info[:n] & np.uint32(31)
         self.at_mix += self.sure
         self.at_mix += self.base_mix[:n]
         both = self.mix.take(self.at_mix)
@@ -212,7 +198,34 @@ class _Lanes:
         part += self.a
         self.ab = part
 
-    def update(self, n: int, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+    def bounds(self, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Begin and width of ids ``x`` in units of 2^-_TOTAL, whether order 1 gives them, and what is known of them.
+
+        ``hit1`` is None where that is still to be found out: if it can. Masks
+        are multiplied in, which is faster than choosing by them.
+        """
+        known = self.known
+        info, zero = known.info.take(x), known.share0.take(x)
+        share = known.share1.take(self.row * np.uint32(FOLLOWERS + 1) + ((info >> np.uint32(5)) & np.uint32(4095)))
+        if hit1 is None:
+            hit1 = (share > 0) & ~hit2
+        one = hit1.astype(np.uint64)
+        other = one - _U1  # all bits where order 1 doesn't give it
+        edge = self.ab + (self.a - self.ab) * hit1
+        part = (_MIX_ONE + (self.ab - _MIX_ONE) * hit1 - edge).astype(np.uint64)
+        share = share.astype(np.uint64)
+        begin = ((share >> np.uint64(16)) << np.uint64(FREQ0 - FREQ1)) * one + ((zero >> _S32) & other)
+        width = ((share & np.uint64(0xFFFF)) << np.uint64(FREQ0 - FREQ1)) * one + ((zero & _LOW32) & other)
+        begin *= part
+        begin += edge.astype(np.uint64) << np.uint64(FREQ0)
+        width *= part
+        rest = ~hit2
+        begin *= rest
+        width *= rest
+        width += (self.a * hit2).astype(np.uint64) << np.uint64(FREQ0)
+        return begin, width, hit1, info
+
+    def update(self, n: int, x: np.ndarray, info: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
         """Learn the ids that came."""
         w2 = hit2 * np.int32(_ONE)
         w2 -= self.w2
@@ -233,7 +246,7 @@ class _Lanes:
         self.sure *= hit2
         self.sure |= x << np.uint32(2)
         self.table[self.at] = self.sure
-        self.p2[:n], self.p1[:n] = self.p1[:n], x
+        self.p2[:n], self.p1[:n], self.info[:n] = self.p1[:n], x, info
 
     def narrow(self, n: int, step: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Take the interval; the lanes that then move on by 32 bits, with the moved-out bits, and the shift."""
@@ -264,20 +277,11 @@ def encode_blocks(ids: np.ndarray, known: Statistics) -> list[bytes]:
         x = columns[t, :n]
         lanes.predict(n)
         hit2 = x == lanes.q
-        share = known.share1.take(lanes.row * np.uint32(FOLLOWERS + 1) + known.place.take(x))
-        hit1 = (share > 0) & ~hit2
-        end = np.where(hit1, lanes.ab, _MIX_ONE)
-        edge = np.where(hit1, lanes.a, lanes.ab)
-        part = (end - edge).astype(np.uint64)
-        begin = np.where(hit1, (share >> np.uint32(16)) << np.uint32(FREQ0 - FREQ1), known.start0.take(x)) * part
-        begin += edge.astype(np.uint64) << np.uint64(FREQ0)
-        width = np.where(hit1, (share & np.uint32(0xFFFF)) << np.uint32(FREQ0 - FREQ1), known.width0.take(x)) * part
-        begin *= ~hit2
-        width = np.where(hit2, lanes.a.astype(np.uint64) << np.uint64(FREQ0), width)
+        begin, width, hit1, info = lanes.bounds(x, hit2, None)
         moved, out, _ = lanes.narrow(n, lanes.span[:n] >> np.uint64(_TOTAL), begin, width)
         words[moved, size[moved]] = out
         size[moved] += 1
-        lanes.update(n, x, hit2, hit1)
+        lanes.update(n, x, info, hit2, hit1)
     words[np.arange(count), size] = (lanes.low + _LOW32) >> _S32  # a number of the interval whose other bits are 0
     return [words[i, : size[i] + 1].astype("<u4").tobytes() for i in range(count)]
 
@@ -304,24 +308,19 @@ def decode_blocks(blocks: list[bytes], total: int, known: Statistics) -> np.ndar
         top = value >> FREQ0
         hit2 = top < lanes.a
         hit1 = (top < lanes.ab) & ~hit2
-        edge = np.where(hit1, lanes.a, lanes.ab)
-        part = np.where(hit1, lanes.ab, _MIX_ONE) - edge
+        edge = lanes.ab + (lanes.a - lanes.ab) * hit1
+        part = _MIX_ONE + (lanes.ab - _MIX_ONE) * hit1 - edge
         slot = np.abs(value - (edge << FREQ0)) / part  # below 2^28, so the quotient's floor is exact
         slot = np.minimum(slot, (1 << FREQ0) - 1).astype(np.uint32)
         one = known.slot1.take((lanes.row << np.uint32(FREQ1)) + (slot >> np.uint32(FREQ0 - FREQ1)))
-        x = np.where(hit1, one, known.slot0.take(slot)).astype(np.uint32)
-        x = np.where(hit2, lanes.q, x)
-        share = known.share1.take(lanes.row * np.uint32(FOLLOWERS + 1) + known.place.take(x))
-        part = part.astype(np.uint64)
-        begin = np.where(hit1, (share >> np.uint32(16)) << np.uint32(FREQ0 - FREQ1), known.start0.take(x)) * part
-        begin += edge.astype(np.uint64) << np.uint64(FREQ0)
-        width = np.where(hit1, (share & np.uint32(0xFFFF)) << np.uint32(FREQ0 - FREQ1), known.width0.take(x)) * part
-        begin *= ~hit2
-        width = np.where(hit2, lanes.a.astype(np.uint64) << np.uint64(FREQ0), width)
+        x = known.slot0.take(slot)
+        x += (one - x) * hit1  # of 16 bits, which wrap
+        x = x + (lanes.q - x) * hit2
+        begin, width, _, info = lanes.bounds(x, hit2, hit1)
         moved, _, shift = lanes.narrow(n, step, begin, width)
         gap[:n] -= shift
         gap[moved] = gap[moved] << _S32 | words[moved, np.minimum(at[moved], last)]
         at[moved] += 1
         columns[t, :n] = x
-        lanes.update(n, x, hit2, hit1)
+        lanes.update(n, x, info, hit2, hit1)
     return columns.T.reshape(-1)[:total]
