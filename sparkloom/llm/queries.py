@@ -69,7 +69,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near duplicates of every document; one of each class is kept."""
     found = neardup.classify(documents(spark, sf_dir), Scratch(spark, "neardup"))
-    return found.select("doc_id", "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
+    return found.select("doc_id", "class_id", F.col("first").alias("kept"))
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
