@@ -256,13 +256,19 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return np.triu(out, 1)
 
 
-def likely(sketches: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Which rows agree in ``AGREE`` coordinates with a row of another class."""
+def likely(key: int, bands_: np.ndarray, sketches: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Which nodes agree in ``AGREE`` coordinates with one of another class, where ``key`` is the first band that both have.
+
+    A pair is so looked at in one bucket only. If a node is the centre of
+    that bucket, which is not here, the pair has been compared before.
+    """
     out = np.zeros(len(sketches), bool)
     for at in range(0, len(sketches), 32):
-        some = slice(at, at + 32)
-        agree = (sketches[some, None] == sketches[None]).sum(2) >= AGREE
-        out[some] = (agree & (classes[some, None] != classes[None])).any(1)
+        agree = (sketches[at : at + 32, None] == sketches[None]).sum(2) >= AGREE
+        i, j = np.nonzero(agree & (classes[at : at + 32, None] != classes[None]))
+        same = bands_[i + at] == bands_[j]
+        here = bands_[j, same.argmax(1)] == key
+        out[i[here] + at] = True
     return out
 
 
@@ -299,7 +305,9 @@ def _compared(left: DataFrame, own: DataFrame, texts_of, least: float, counted:
     def suspect(group: pa.Table) -> pa.Table:
         lean()
         sketches = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
-        return group.drop_columns(["sketch"]).filter(pa.array(likely(sketches, group.column("class").to_numpy())))
+        own = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(sketches), -1)
+        found = likely(group.column("key")[0].as_py(), own, sketches, group.column("class").to_numpy())
+        return group.select(["key", "lo", "hi", "id", "class"]).filter(pa.array(found))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean()
@@ -318,7 +326,7 @@ def _compared(left: DataFrame, own: DataFrame, texts_of, least: float, counted:
         i, j = np.nonzero(good)
         return pa.table({"a": pa.array(np.minimum(ids[i], ids[j])), "b": pa.array(np.maximum(ids[i], ids[j]))})
 
-    blocks = _blocked(left, own).join(own.select("id", "sketch"), "id").select("key", "lo", "hi", "id", "class", "sketch")
+    blocks = _blocked(left, own).join(own.select("id", "bands", "sketch"), "id").select("key", "lo", "hi", "id", "class", "bands", "sketch")
     some = scratch.write(blocks.groupBy("key", "lo", "hi").applyInArrow(suspect, "key bigint, lo bigint, hi bigint, id bigint, class bigint"), "suspects")
     whole = scratch.write(texts_of(some.select("id").distinct()).select("id", "text").mapInArrow(sets, "id bigint, own binary"), "open-sets")
     return some.join(whole, "id").groupBy("key", "lo", "hi").applyInArrow(compare, "a bigint, b bigint").distinct()
