@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
+#: Bits that ``sifted`` broadcasts at most, in numbers of 64, however many keys are wanted.
+SIEVE = 1 << 24
 
 
 #: What modules keep between the tasks of a worker, by owner: how to let it go.
@@ -133,6 +135,22 @@ def crc_mod(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)
 
 
+def sifted(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``(others, some)`` of the rows: no key of ``others`` is wanted; ``some`` are the wanted rows and a few more.
+
+    A bit for the hash of each wanted key is broadcast, so that rows can be
+    told apart before anything is shuffled. Which of ``some`` are wanted is
+    left to an exact join. Null keys are equal; ``keys`` must have the same
+    types on both sides.
+    """
+    slot = F.xxhash64(*keys).bitwiseAND(F.lit(SIEVE - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    bits = wanted.groupBy(F.shiftright(slot, 6).alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    marked = rows.join(F.broadcast(bits), F.shiftright(slot, 6) == F.col("__word"), "left")
+    hit = F.coalesce(F.getbit("__bits", slot.bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))
+    return tuple(marked.where(x).drop("__word", "__bits") for x in (~hit, hit))
+
+
 class Sheltered:
     """Rows under positional names, so that columns made beside them clash with none."""
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Sheltered, lean, slices
+from .common import Scratch, Sheltered, lean, sifted, slices
 
 SHINGLE, LEAST = 5, 0.8
 #: 32 bands of 4: two sets of similarity 0.8 share none with probability 5e-8, less than SHARED with 1e-6.
@@ -419,7 +419,8 @@ def classify(docs: DataFrame, scratch: Scratch, least: float = LEAST, counted: b
     def texts_of(ids: DataFrame) -> DataFrame:
         wanted = scratch.write(sets.join(ids, "id", "left_semi").select("id", "least.doc_id", "least.row"), f"asked-{texts_of.turn}")
         texts_of.turn += 1
-        rows = _texts(docs).alias("t").join(wanted.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.row") == F.col("w.row")))
+        some = sifted(_texts(docs), wanted, ["doc_id", "row"])[1]
+        rows = some.alias("t").join(wanted.alias("w"), F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.row") == F.col("w.row")))
         return rows.groupBy("id").agg(F.first("text").alias("text"))
 
     texts_of.turn = 0
@@ -444,11 +445,10 @@ def keep_first(docs: DataFrame, scratch: Scratch, least: float = LEAST) -> DataF
     gone = scratch.write(found.where("not first").select(F.col("doc_id").alias("id"), "row").distinct(), "gone")
     own = Sheltered(docs)
     rows = own.df.withColumn("id", own.col("doc_id").cast("bigint")).withColumn("row", F.xxhash64(F.coalesce(own.col("text"), F.lit(""))))
-    same = lambda x, y: F.col(f"{x}.id").eqNullSafe(F.col(f"{y}.id")) & (F.col(f"{x}.row") == F.col(f"{y}.row"))
-    kept = rows.alias("r").join(gone.alias("g"), same("r", "g"), "left_anti")
     repeated = scratch.write(many.select(F.col("doc_id").alias("id"), "row"), "repeated")
-    if repeated.isEmpty():
-        return own.restore(kept)
-    once = kept.alias("k").join(repeated.alias("m"), same("k", "m"), "left_anti")
-    again = kept.alias("k").join(repeated.alias("m"), same("k", "m"), "left_semi").dropDuplicates(["id", "row"])
-    return own.restore(once).unionByName(own.restore(again))
+    others, some = sifted(rows, gone.unionByName(repeated), ["id", "row"])
+    same = F.col("r.id").eqNullSafe(F.col("g.id")) & (F.col("r.row") == F.col("g.row"))
+    kept = some.alias("r").join(gone.alias("g"), same, "left_anti")
+    if not repeated.isEmpty():  # all other rows that are kept are the only ones of their id and text
+        kept = kept.dropDuplicates(["id", "row"])
+    return own.restore(others).unionByName(own.restore(kept))

@@ -1,6 +1,7 @@
 """Each operator against brute force or the library it must agree with."""
 
 import collections
+import contextlib
 import hashlib
 import random
 import re
@@ -18,7 +19,7 @@ from hypothesis import given, settings  # noqa: E402
 from hypothesis import strategies as st  # noqa: E402
 
 from sparkloom.llm import ann, bpe, fingerprints, html, mixing, neardup, quality, queries, rangecoder, substring, tokenstore, toxicity  # noqa: E402
-from sparkloom.llm.common import Scratch  # noqa: E402
+from sparkloom.llm.common import Scratch, sifted  # noqa: E402
 
 SMALL = Path("/root/testdata/sf0.001")
 WORDS = [a + b for a in ("th", "er", "on", "ble", "sh", "ou", "ti") for b in ("an", "re", "in", "ed", "ea", "or")]
@@ -54,6 +55,30 @@ def corpus(spark):
     return rows
 
 
+@contextlib.contextmanager
+def shuffled(spark):
+    """The bytes that stages within write for shuffles, appended at the end; no join is broadcast for its size."""
+    sc, found = spark.sparkContext._jsc.sc(), []
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        quantiles = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+        listed = sc.statusStore().stageList(None, False, False, quantiles, None)
+        return {listed.apply(i).stageId(): listed.apply(i).shuffleWriteBytes() for i in range(listed.size())}
+
+    was, limit = stages(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        yield found
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    found.append(sum(n for k, n in stages().items() if k not in was))
+
+
+def unlike(r, n):
+    return " ".join(f"{r.getrandbits(64):x}" for _ in range(n))
+
+
 @pytest.fixture(scope="module")
 def frame(spark, corpus):
     return docs_of(spark, corpus).repartition(5).cache()
@@ -289,6 +314,30 @@ def test_links_in_a_large_family_just_below_the_threshold_are_found(spark):
     assert got == {i: i % 10_000 for i in family}
 
 
+def test_sifted_rows_are_all_wanted_ones_and_few_others(spark):
+    rows = spark.createDataFrame([(i, i % 7) for i in range(3000)] + [(None, 1), (None, None)], "id bigint, row bigint")
+    wanted = spark.createDataFrame([(i, i % 7) for i in range(0, 3000, 100)] + [(None, 1), (5, None)], "id bigint, row bigint")
+    others, some = (list(map(tuple, x.collect())) for x in sifted(rows, wanted, ["id", "row"]))
+    assert sorted(others + some, key=str) == sorted(map(tuple, rows.collect()), key=str)
+    assert {(i, i % 7) for i in range(0, 3000, 100)} | {(None, 1)} <= set(some) and len(some) < 40
+    others, some = sifted(rows, wanted.where("false"), ["id"])
+    assert (others.count(), some.count()) == (3002, 0)
+
+
+def test_only_texts_of_likely_pairs_are_shuffled(spark):
+    r = random.Random(22)
+    rows = [(i, unlike(r, 1500)) for i in range(200)]
+    rows += [(1000, rows[7][1] + " end"), (1001, rows[8][1]), (1001, rows[8][1]), (None, rows[9][1] + " end")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5).localCheckpoint()
+    size = sum(len(t) for _, t in rows)
+    with shuffled(spark) as classed:
+        got = {x.doc_id: x.class_id for x in neardup.classify(frame, Scratch(spark, "t")).collect()}
+    assert got == {i: {1000: 7, 1001: 8, None: 9}.get(i, i) for i, _ in rows}
+    with shuffled(spark) as kept:
+        assert sorted(x.doc_id for x in neardup.keep_first(frame, Scratch(spark, "t")).collect()) == list(range(200))
+    assert max(classed[0], kept[0]) < size / 3
+
+
 def test_rows_that_repeat_an_id_are_classed_and_kept_by_their_texts(spark):
     r = random.Random(12)
     a, b, c = prose(r, 60), prose(r, 60), prose(r, 60)
