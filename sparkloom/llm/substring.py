@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Sheltered, lean
+from .common import Scratch, Sheltered, lean, sifted
 
 WINDOW, GRAM = 50, 12
 #: Batches of ascending doc_id that the query feeds, and runs that are compacted into one.
@@ -178,10 +178,8 @@ class FingerprintIndex:
 
 
 def _few(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``id, text`` of the documents whose ids are wanted; the planner broadcasts the ids if they are few, so that other texts are not shuffled."""
-    ids = wanted.select(F.col("id").alias("__want")).distinct()
-    rows = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "text")
-    return rows.join(ids, F.col("id") == F.col("__want"), "left_semi")
+    """``id, text`` of the documents whose ids are wanted, and of a few others; most others are left out before any shuffle."""
+    return sifted(docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "text"), wanted, ["id"])[1]
 
 
 class IncrementalDedup:
@@ -336,13 +334,12 @@ def cut_documents(docs: DataFrame, scratch: Scratch, batches: int = BATCHES) ->
     done = scratch.write(done.distinct(), "cut")
     own = Sheltered(docs)
     rows = own.df.withColumn("id", F.coalesce(own.col("doc_id").cast("bigint"), F.lit(LAST)))
-    ids = done.select("id").distinct()
-    same = own.restore(rows.join(ids, "id", "left_anti"))
-    hit = _with_row(rows.join(ids, "id", "left_semi"), own.inner["text"]).join(done, ["id", "row"], "left")
+    same, some = sifted(rows, done, ["id"])
+    hit = _with_row(some, own.inner["text"]).join(done, ["id", "row"], "left")
     new = {"text": F.coalesce("kept", own.col("text"))}
     if "n_chars" in own.names:
         new["n_chars"] = F.when(F.col("kept").isNull(), own.col("n_chars")).otherwise(F.length("kept").cast(docs.schema["n_chars"].dataType))
-    return same.unionByName(own.restore(hit, new))
+    return own.restore(same).unionByName(own.restore(hit, new))
 
 
 def _with_row(rows: DataFrame, text: str) -> DataFrame:

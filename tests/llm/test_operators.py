@@ -245,6 +245,21 @@ def test_cut_documents_keeps_columns_and_leaves_others_alone(spark, frame, corpu
         assert r.text == (texts[r.doc_id] if whole else " ".join(want[r.doc_id])) and r.n_chars == len(r.text)
 
 
+def test_only_texts_that_share_passages_are_shuffled(spark):
+    r = random.Random(21)
+    rows = [(i, unlike(r, 2000)) for i in range(200)]
+    rows += [(1000, unlike(r, 60) + " " + rows[7][1].split(" ", 1900)[-1]), (None, rows[9][1])]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5).localCheckpoint()
+    size = sum(len(t) for _, t in rows)
+    with shuffled(spark) as dedup:
+        got = {x.doc_id: x.n_removed for x in substring.dedup(frame, Scratch(spark, "t")).collect()}
+    assert got == {i: {1000: 100, None: 2000}.get(i, 0) for i, _ in rows}
+    with shuffled(spark) as cut:
+        got = {x.doc_id: x.text for x in substring.cut_documents(frame, Scratch(spark, "t")).collect()}
+    assert got == dict(rows) | {1000: " ".join(rows[200][1].split()[:60]), None: ""}
+    assert max(dedup[0], cut[0]) < size
+
+
 # fingerprints -------------------------------------------------------------------
 def shingle_set(text):
     w = text.split()
