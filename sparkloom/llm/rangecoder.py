@@ -113,10 +113,17 @@ class Statistics:
         return out
 
     @cached_property
-    def share0(self) -> np.ndarray:
-        """By id: begin and frequency of its order-0 share, packed."""
-        out = np.zeros(1 << 16, np.uint64)
-        out[self.ids] = (np.cumsum(self.freq) - self.freq) << 32 | self.freq
+    def begin0(self) -> np.ndarray:
+        """By id: where its order-0 share begins."""
+        out = np.zeros(1 << 16, np.uint32)
+        out[self.ids] = np.cumsum(self.freq) - self.freq
+        return out
+
+    @cached_property
+    def width0(self) -> np.ndarray:
+        """By id: the frequency of its order-0 share."""
+        out = np.zeros(1 << 16, np.uint32)
+        out[self.ids] = self.freq
         return out
 
     @cached_property
@@ -183,12 +190,14 @@ class _Lanes:
         at += p2 * np.uint32(2246822519)
         at >>= np.uint32(22)
         at += self.base[:n]
-        self.at, e = at, self.table.take(at)
+        self.at = at.astype(np.intp)  # what numpy indexes by, here and in update
+        e = self.table.take(self.at)
         self.q, self.sure = e >> np.uint32(2), e & np.uint32(3)
         self.row = self.info[:n] >> np.uint32(17)
         self.at_mix = self.info[:n] & np.uint32(31)
         self.at_mix += self.sure
         self.at_mix += self.base_mix[:n]
+        self.at_mix = self.at_mix.astype(np.intp)
         both = self.mix.take(self.at_mix)
         self.w2, self.w1 = (both >> np.uint32(16)).view(np.int32), (both & np.uint32(0xFFFF)).view(np.int32)
         self.a = self.w2 >> (16 - MIX)
@@ -204,25 +213,30 @@ class _Lanes:
         ``hit1`` is None where that is still to be found out: if it can. Masks
         are multiplied in, which is faster than choosing by them.
         """
-        known = self.known
-        info, zero = known.info.take(x), known.share0.take(x)
+        known, place = self.known, x.astype(np.intp)
+        info, begin, width = known.info.take(place), known.begin0.take(place), known.width0.take(place)
         share = known.share1.take(self.row * np.uint32(FOLLOWERS + 1) + ((info >> np.uint32(5)) & np.uint32(4095)))
         if hit1 is None:
             hit1 = (share > 0) & ~hit2
-        one = hit1.astype(np.uint64)
-        other = one - _U1  # all bits where order 1 doesn't give it
+        other = hit1.astype(np.uint32)
+        other -= np.uint32(1)  # all bits where order 1 doesn't give it
+        begin &= other
+        width &= other
+        np.invert(other, out=other)
+        share &= other
+        begin += (share >> np.uint32(16)) << np.uint32(FREQ0 - FREQ1)
+        width += (share & np.uint32(0xFFFF)) << np.uint32(FREQ0 - FREQ1)
         edge = self.ab + (self.a - self.ab) * hit1
-        part = (_MIX_ONE + (self.ab - _MIX_ONE) * hit1 - edge).astype(np.uint64)
-        share = share.astype(np.uint64)
-        begin = ((share >> np.uint64(16)) << np.uint64(FREQ0 - FREQ1)) * one + ((zero >> _S32) & other)
-        width = ((share & np.uint64(0xFFFF)) << np.uint64(FREQ0 - FREQ1)) * one + ((zero & _LOW32) & other)
+        part = _MIX_ONE + (self.ab - _MIX_ONE) * hit1
+        part -= edge
+        part = part.view(np.uint32)
         begin *= part
-        begin += edge.astype(np.uint64) << np.uint64(FREQ0)
+        begin += edge.view(np.uint32) << np.uint32(FREQ0)
         width *= part
         rest = ~hit2
         begin *= rest
         width *= rest
-        width += (self.a * hit2).astype(np.uint64) << np.uint64(FREQ0)
+        width += (self.a * hit2).view(np.uint32) << np.uint32(FREQ0)
         return begin, width, hit1, info
 
     def update(self, n: int, x: np.ndarray, info: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
@@ -236,16 +250,17 @@ class _Lanes:
         w1 >>= RATE
         w1 *= ~hit2
         w1 += self.w1
-        np.clip(w2, 128, _ONE - 1024, out=w2)
-        np.clip(w1, 128, _ONE - 1024, out=w1)
+        for w in (w2, w1):
+            np.maximum(w, 128, out=w)
+            np.minimum(w, _ONE - 1024, out=w)
         w2 <<= 16
         w2 |= w1
-        self.mix[self.at_mix] = w2.view(np.uint32)
+        self.mix.put(self.at_mix, w2.view(np.uint32), mode="clip")  # all places are there; this mode is the fastest
         self.sure += np.uint32(1)
         np.minimum(self.sure, np.uint32(3), out=self.sure)
         self.sure *= hit2
         self.sure |= x << np.uint32(2)
-        self.table[self.at] = self.sure
+        self.table.put(self.at, self.sure, mode="clip")
         self.p2[:n], self.p1[:n], self.info[:n] = self.p1[:n], x, info
 
     def narrow(self, n: int, step: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

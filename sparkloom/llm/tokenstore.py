@@ -135,22 +135,24 @@ class WordTokens:
     def _learn(self, parts: list[str], barely: bool) -> np.ndarray:
         """The packed ids of distinct parts, as an array of bytes objects; ``barely`` if they need no normalizer."""
         known = self._known
-        new = [p for p in parts if p not in known]
-        if new:
+        out = list(map(known.get, parts))
+        where = [i for i, x in enumerate(out) if x is None]
+        if where:
             if len(known) > self._most:
                 known.clear()
-                new = parts
+            new = [parts[i] for i in where]
             if barely:
                 ids = np.array(self._bare.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u2")
                 cuts, data = (2 * np.flatnonzero(self._ends[ids]) + 2).tolist(), ids.tobytes()
                 made = [data[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
             else:
                 made = [x.astype("<u2").tobytes() for x in self._plainly(new)]
+            for i, x in zip(where, made, strict=True):
+                out[i] = x
             known.update(zip(new, made, strict=True))
-        out = [known[p] for p in parts]
-        for p in new:
-            if len(p) > self.LONGEST:
-                del known[p]
+            for p in new:
+                if len(p) > self.LONGEST:
+                    del known[p]
         return out
 
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
@@ -178,7 +180,7 @@ class WordTokens:
             add(tail.filter(pa.array(ended)), True, np.flatnonzero(simple)[ended], 1)
             filled = filled[~simple[filled]]
         add(distinct.take(pa.array(filled)), False, filled, 0)
-        data, size = np.frombuffer(b"".join(packed), "<u2"), np.array([len(p) for p in packed]) // 2
+        data, size = np.frombuffer(b"".join(packed), "<u2"), np.fromiter(map(len, packed), np.int64, len(packed)) // 2
         data, size = _picked(data, size, pair.ravel())  # of each distinct word
         size = size.reshape(-1, 2).sum(1)
         ids, many = _picked(data, size, np.asarray(words.indices))
@@ -192,7 +194,9 @@ def _picked(data: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.n
     many = size[which]
     ends = np.cumsum(many)
     shift = (np.cumsum(size) - size)[which] - ends + many
-    return data[np.repeat(shift, many) + np.arange(ends[-1] if len(ends) else 0)], many
+    at = np.repeat(shift, many)
+    at += np.arange(len(at))
+    return data.take(at), many
 
 
 @lru_cache(maxsize=1)

@@ -542,6 +542,34 @@ def test_word_tokens_agree_with_the_library(word_tokens, text):
     assert mine.ids(pa.array(["x y.", text, ""]))[1].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_known_words_are_not_encoded_again_where_the_memory_is_full():
+    class Watched:
+        def __init__(self, inner):
+            self.inner, self.words = inner, []
+
+        def encode_batch_fast(self, texts, **options):
+            self.words += " ".join(texts).split()
+            return self.inner.encode_batch_fast(texts, **options)
+
+    coder = tokenstore.WordTokens(P.path("word_bpe_49k.json"), remembered=3)
+    one, two = pa.array(["alpha beta gamma delta"]), pa.array(["alpha epsilon delta zeta"])
+    want = [x.tolist() for t in (one, two) for x in coder.ids(t)]
+    coder._known.clear()
+    coder._bare = Watched(coder._bare)
+    assert [x.tolist() for t in (one, two) for x in coder.ids(t)] == want
+    assert sorted(coder._bare.words) == ["alpha", "beta", "delta", "epsilon", "gamma", "zeta"]
+
+
+def test_coder_works_in_32_bits_up_to_the_widest_share():
+    for ids in (np.full(5000, 65535, np.uint16), np.arange(3000).astype(np.uint16), np.tile(np.array([7, 9], np.uint16), 1500)):
+        known = rangecoder.Statistics.of(ids)
+        assert (rangecoder.decode_blocks(rangecoder.encode_blocks(ids, known), len(ids), known) == ids).all()
+        lanes, x = rangecoder._Lanes(2, known), ids[:2].astype(np.uint32)
+        lanes.predict(2)
+        begin, width, _, _ = lanes.bounds(x, np.zeros(2, bool), None)
+        assert begin.dtype == width.dtype == np.uint32 and (begin.astype(int) + width <= 1 << 28).all()
+
+
 def test_word_tokens_of_every_character(word_tokens):
     mine, library = word_tokens
     assert mine._simple
