@@ -5,14 +5,17 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from typing import ClassVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -20,6 +23,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 #: Bits that ``sifted`` broadcasts at most, in numbers of 64, however many keys are wanted.
 SIEVE = 1 << 24
+#: The share of its largest heap from which on a driver gives memory back, and the least seconds between two times.
+GROWN, PAUSE = 0.5, 10.0
 
 
 #: What modules keep between the tasks of a worker, by owner: how to let it go.
@@ -43,6 +48,31 @@ def lean(owner: str = "") -> None:
         libc.malloc_trim(0)
 
 
+_relieved = [float("-inf")]
+
+
+def relieve(spark: SparkSession) -> None:
+    """Make a driver whose heap has grown give memory back.
+
+    Left alone, its JVM takes more heap rather than collect what finished
+    jobs leave, and keeps native blocks that it has freed. Broadcasts and
+    shuffles that nothing refers to any more are let go with it.
+    """
+    java = spark._jvm.java.lang
+    runtime = java.Runtime.getRuntime()
+    if runtime.totalMemory() < GROWN * runtime.maxMemory() or time.monotonic() - _relieved[0] < PAUSE:
+        return
+    gc.collect()
+    java.System.gc()
+    with contextlib.suppress(Py4JError):  # where the JVM has this command; its server is reached by its public interface only
+        server = java.management.ManagementFactory.getPlatformMBeanServer()
+        (invoke,) = [m for m in java.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke"]
+        values = spark._sc._gateway.new_array(java.Object, 4)
+        values[0], values[1] = spark._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(server, values)
+    _relieved[0] = time.monotonic()
+
+
 def short_batches(spark: SparkSession) -> None:
     """Keep batches for Python short, since texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
@@ -92,6 +122,7 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        relieve(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     @classmethod

@@ -18,7 +18,7 @@ import public_tokenizers as P  # noqa: E402
 from hypothesis import given, settings  # noqa: E402
 from hypothesis import strategies as st  # noqa: E402
 
-from sparkloom.llm import ann, bpe, fingerprints, html, mixing, neardup, quality, queries, rangecoder, substring, tokenstore, toxicity  # noqa: E402
+from sparkloom.llm import ann, bpe, common, fingerprints, html, mixing, neardup, quality, queries, rangecoder, substring, tokenstore, toxicity  # noqa: E402
 from sparkloom.llm.common import Scratch, sifted  # noqa: E402
 
 SMALL = Path("/root/testdata/sf0.001")
@@ -339,6 +339,21 @@ def test_sifted_rows_are_all_wanted_ones_and_few_others(spark):
     assert (others.count(), some.count()) == (3002, 0)
 
 
+def test_a_grown_driver_gives_memory_back_between_written_tables(spark, monkeypatch):
+    java, scratch = spark._jvm.java.lang, Scratch(spark, "relieved")
+    server = java.management.ManagementFactory.getPlatformMBeanServer()
+    (get,) = [m for m in java.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "getAttribute"]
+    asked = spark.sparkContext._gateway.new_array(java.Object, 2)
+    asked[0], asked[1] = spark._jvm.javax.management.ObjectName("java.lang:type=GarbageCollector,name=G1 Old Generation"), "CollectionCount"
+    monkeypatch.setattr(common, "PAUSE", 0.0, raising=False)
+    for grown, times in ((2.0, 0), (0.0, 1)):  # of its largest heap: none has grown so far, any has
+        monkeypatch.setattr(common, "GROWN", grown, raising=False)
+        before = get.invoke(server, asked)
+        assert scratch.write(spark.range(10), f"ten{times}").count() == 10
+        assert get.invoke(server, asked) - before == times
+    scratch.drop()
+
+
 def test_only_texts_of_likely_pairs_are_shuffled(spark):
     r = random.Random(22)
     rows = [(i, unlike(r, 1500)) for i in range(200)]
